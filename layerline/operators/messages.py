@@ -27,18 +27,19 @@ def encode(
     return df.select(message_key(key).alias("key"), json_text(*(columns or df.columns)).alias("value"), *keep)
 
 
-def _reason(raw: Column, required: Sequence[str]) -> Column:
-    corrupt = F.col(f"data.{_CORRUPT}").isNotNull()
+def _reason(required: Sequence[str]) -> Column:
+    raw = F.col("raw_value")
     missing = F.lit(False)
     for name in required:
-        missing = missing | F.col(f"data.{name}").isNull()
+        missing = missing | F.col(name).isNull()
     # The raw text is parsed a second time only for rows that the decoder marked as corrupt.
     cause = (
         F.when(F.get_json_object(raw, "$").isNull(), MALFORMED)
-        .when(~F.ltrim(raw).startswith("{"), NOT_OBJECT)
+        .when(~raw.rlike(r"^\s*\{"), NOT_OBJECT)
         .otherwise(WRONG_TYPE)
     )
-    return F.when(F.col("data").isNull(), EMPTY).when(corrupt, cause).when(missing, MISSING)
+    empty = raw.isNull() | ~raw.rlike(r"\S")
+    return F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).when(missing, MISSING)
 
 
 def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -48,17 +49,19 @@ def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[s
     clean row) and ``raw_value`` (kept only where there is a reason). A field of the wrong type is
     null and leaves the others; a value that is not a JSON object leaves all of them null.
     """
-    raw = F.col("value").cast("string")
-    with_corrupt = StructType([*schema.fields]).add(_CORRUPT, "string")
-    parsed = messages.select(
+    text = messages.select(
         F.col("key").cast("string").alias("kafka_key"),
         *[F.col(name).alias(f"kafka_{name}") for name in ("partition", "offset", "timestamp")],
-        raw.alias("raw_value"),
-        F.from_json(raw, with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT}).alias("data"),
+        F.col("value").cast("string").alias("raw_value"),
     )
-    reason = _reason(F.col("raw_value"), required)
+    with_corrupt = StructType([*schema.fields]).add(_CORRUPT, "string")
+    data = F.from_json("raw_value", with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
+    # Unfolding a one-element array keeps later filters above the parse. Over a plain projection they
+    # would be pushed below it, and every message would be parsed again for each filtered field.
+    parsed = text.select("*", F.inline(F.array(data)))
+    reason = _reason(required)
     return parsed.select(
-        *[F.col(f"data.{name}").alias(name) for name in schema.names],
+        *schema.names,
         *MESSAGE_META.names,
         reason.alias("error_reason"),
         F.when(reason.isNotNull(), F.col("raw_value")).alias("raw_value"),
