@@ -8,11 +8,14 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
-# Timestamps are read and shown in UTC; AQE sizes the shuffles and splits skewed partitions at run time.
+# Timestamps are read and shown in UTC. AQE merges small shuffle partitions up to the advisory size, which
+# is also the size of the files behind a rebalance, and splits skewed ones. It never makes more partitions
+# than spark.sql.shuffle.partitions, so set that for the input: about its bytes over the advisory size.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }

@@ -71,8 +71,9 @@ def src_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def norm_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = match_responses(bronze_events(spark, sf_dir))
-    return matches.normalize_matches(matches.explode_documents(responses)).drop("ingested_at")
+    path = scratch_path(spark, "responses")
+    match_responses(bronze_events(spark, sf_dir)).write.parquet(path)
+    return matches.normalize_matches(matches.explode_documents(read_table(spark, path))).drop("ingested_at")
 
 
 # Selections and counts
