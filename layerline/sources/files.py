@@ -46,10 +46,13 @@ def write_partitioned(
 
 
 def read_documents(
-    spark: SparkSession, path: str, schema: StructType = RESPONSE, multiline: bool = False
+    spark: SparkSession, path: str, schema: StructType = RESPONSE, multiline: bool = False, **options: str
 ) -> DataFrame:
-    """Landed JSON responses, one per line, or one per file with ``multiline``."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    """Landed JSON responses, one per line, or one per file with ``multiline``.
+
+    A line that is not JSON counts as a response without documents; ``mode="FAILFAST"`` stops at it.
+    """
+    return spark.read.schema(schema).options(multiLine=multiline, **options).json(path)
 
 
 def stream_documents(spark: SparkSession, path: str, schema: StructType = RESPONSE, **options: str) -> DataFrame:
