@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from layerline.functions import written_date, written_timestamp
+from layerline.functions import all_present, written_date, written_timestamp
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows in which every one of the columns is present."""
-    return df.dropna(how="any", subset=list(columns))
+    return df.where(all_present(columns))
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], latest_first: Sequence[str]) -> DataFrame:

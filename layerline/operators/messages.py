@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from layerline.functions import json_text, message_key
+from layerline.functions import all_present, json_text, message_key
 from layerline.schemas import EVENT, MESSAGE_META, REQUIRED
 
 # Reasons given to rows that do not decode in full.
@@ -29,9 +29,6 @@ def encode(
 
 def _reason(required: Sequence[str]) -> Column:
     raw = F.col("raw_value")
-    missing = F.lit(False)
-    for name in required:
-        missing = missing | F.col(name).isNull()
     # The raw text is parsed a second time only for rows that the decoder marked as corrupt.
     cause = (
         F.when(F.get_json_object(raw, "$").isNull(), MALFORMED)
@@ -39,7 +36,7 @@ def _reason(required: Sequence[str]) -> Column:
         .otherwise(WRONG_TYPE)
     )
     empty = raw.isNull() | ~raw.rlike(r"\S")
-    return F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).when(missing, MISSING)
+    return F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).when(~all_present(required), MISSING)
 
 
 def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -68,26 +65,19 @@ def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[s
     )
 
 
-def _all_present(required: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for name in required:
-        present = present & F.col(name).isNotNull()
-    return present
-
-
 def valid(decoded: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Decoded rows that have their required fields."""
-    return decoded.where(_all_present(required))
+    return decoded.where(all_present(required))
 
 
 def rejects(decoded: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Decoded rows without their required fields: the complement of ``valid``."""
-    return decoded.where(~_all_present(required))
+    return decoded.where(~all_present(required))
 
 
 def delivery_counts(decoded: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Rows per outcome: ``ok`` for valid rows, the reason for the others."""
-    outcome = F.when(_all_present(required), "ok").otherwise(F.col("error_reason"))
+    outcome = F.when(all_present(required), "ok").otherwise(F.col("error_reason"))
     return decoded.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 

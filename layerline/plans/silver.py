@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from layerline.functions import all_present
 from layerline.operators.cleaning import keep_latest, require, with_times
 from layerline.schemas import EVENT_KEY, LATEST_FIRST, REQUIRED, SILVER
 from layerline.sources.files import read_table, write_partitioned
@@ -34,13 +35,12 @@ def silver_counts(bronze: DataFrame, silver: DataFrame, required: Sequence[str]
     observed while writing would be cheaper but sit before the shuffle, where the tasks that are run
     again after an executor loss are counted again.
     """
-    present = F.lit(True)
-    for name in required:
-        present = present & F.col(name).isNotNull()
+    zero = F.lit(0).cast("long")
     before = bronze.agg(
-        F.count("*").alias("rows_read"), F.count_if(present).alias("rows_clean"), F.lit(0).cast("long").alias("rows_written")
+        F.count("*").alias("rows_read"),
+        F.count_if(all_present(required)).alias("rows_clean"),
+        zero.alias("rows_written"),
     )
-    zero = F.lit(0).cast("long")
     after = silver.agg(zero.alias("rows_read"), zero.alias("rows_clean"), F.count("*").alias("rows_written"))
     total = before.unionByName(after).agg(
         *[F.sum(name).alias(name) for name in ("rows_read", "rows_clean", "rows_written")]

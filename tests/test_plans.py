@@ -8,7 +8,9 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from layerline.operators import messages as msg
 from layerline.operators.cleaning import keep_latest
+from layerline.operators.matches import select_matches
 from layerline.operators.quality import run_checks
 from layerline.operators.roles import role_join
 from layerline.plans import gold, silver
@@ -56,6 +58,7 @@ def stored(spark, tmp_path_factory):
 def test_dedup_limits_each_key_before_the_only_shuffle(spark, stored):
     text = plan(silver.to_silver(spark.read.parquet(str(stored / "bronze"))))
     assert text.count("Exchange hashpartitioning") == 1
+    assert "IsNotNull(event_id)" in text and "IsNotNull(match_id)" in text
     before = text[text.index("Exchange hashpartitioning"):]
     assert re.search(r"WindowGroupLimit .*Partial", before)
 
@@ -73,6 +76,25 @@ def test_dedup_sends_one_row_per_task_and_key(spark):
     assert re.search(r"WindowGroupLimit .*Partial", metrics)
 
 
+def test_counts_read_two_columns_of_bronze_and_no_column_of_silver(spark, stored):
+    silver_table = read_table(spark, str(stored / "silver"), SILVER)
+    text = plan(silver.silver_counts(spark.read.parquet(str(stored / "bronze")), silver_table))
+    assert "ReadSchema: struct<event_id:string,match_id:int>" in text
+    assert "ReadSchema: struct<>" in text
+
+
+def test_rejects_are_a_pushed_down_filter_on_bronze(spark, stored):
+    text = plan(msg.rejects(spark.read.parquet(str(stored / "bronze"))))
+    assert "PushedFilters: [Or(IsNull(event_id),IsNull(match_id))]" in text
+
+
+def test_selections_reach_the_scan(spark, stored):
+    bronze = spark.read.parquet(str(stored / "bronze"))
+    assert "In(competition_code, [CL,PL])" in plan(select_matches(bronze, ["PL", "CL"]))
+    assert "EqualTo(status,LIVE)" in plan(select_matches(bronze, status="LIVE"))
+    assert "EqualTo(match_id,8)" in plan(select_matches(bronze, match_id=8))
+
+
 def test_dimension_reads_its_input_once(spark, stored):
     text = plan(gold.dim_teams(gold.staging(read_table(spark, str(stored / "silver"), SILVER))))
     assert text.count("FileScan parquet") == 1

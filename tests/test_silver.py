@@ -17,6 +17,11 @@ def test_require(spark):
     assert [tuple(row) for row in require(df, ["event_id", "match_id"]).collect()] == [("a", 1)]
 
 
+def test_require_keeps_nan(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,)], "v double")
+    assert require(df, ["v"]).count() == 1
+
+
 def test_keep_latest_ranks_null_offsets_last(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("b", None)], "k string, o long")
     kept = keep_latest(df, ["k"], ["o"])

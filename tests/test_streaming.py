@@ -87,6 +87,16 @@ def test_rejects_are_read_from_bronze(spark, sent, tmp_path):
     assert msg.dead_letters(rejected).count() == expected.count()
 
 
+def test_dead_letters_can_be_streamed(spark, sent, tmp_path):
+    sent.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in"))
+    letters = msg.dead_letters(msg.rejects(msg.decode(stream)))
+    start_append(letters, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    expected = msg.dead_letters(msg.rejects(msg.decode(sent)))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.exceptAll(expected).count() == 0 == expected.exceptAll(found).count()
+
+
 def test_batch_and_stream_share_the_decode(spark, sent):
     assert bronze_rows(sent).dtypes == [(field.name, field.dataType.simpleString()) for field in BRONZE]
     assert bronze_rows(sent, keep_rejects=True).columns[-2:] == ["error_reason", "raw_value"]
