@@ -18,8 +18,8 @@ def keep_latest(df: DataFrame, keys: Sequence[str], latest_first: Sequence[str])
     """One row per key: the one with the greatest ``latest_first`` values, nulls ranking last.
 
     The rank test is planned as a group limit on both sides of the shuffle, so a task sends at most
-    one row per key, however many copies of it there are. Name enough columns to break ties;
-    among full ties Spark keeps any one.
+    one row per key, however many copies of it there are. Name enough columns to break ties:
+    among full ties any one is kept.
     """
     newest = [F.col(name).desc_nulls_last() for name in latest_first]
     # The hash adds nothing to the grouping. It leads the sort, which tells most rows apart by their

@@ -82,5 +82,5 @@ MESSAGE = struct_of(
 
 REQUIRED = ("event_id", "match_id")
 EVENT_KEY = ("event_id",)
-# Offsets are unique within a topic partition, so the pair is a total order over a topic.
-LATEST_FIRST = ("kafka_offset", "kafka_partition")
+# Offsets are unique within a topic partition; the date tells apart a message that was landed twice.
+LATEST_FIRST = ("kafka_offset", "kafka_partition", "ingestion_date")

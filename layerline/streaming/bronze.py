@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from layerline.functions import all_present
 from layerline.operators.messages import decode
-from layerline.schemas import BRONZE
+from layerline.schemas import BRONZE, REQUIRED
 
 # Fixed value: seconds between micro-batches.
 TRIGGER_SECONDS = 30
@@ -47,5 +48,12 @@ def start_bronze(
     interval: str | None = f"{TRIGGER_SECONDS} seconds",
     keep_rejects: bool = False,
 ) -> StreamingQuery:
-    """Decode a message stream and append it to bronze by ingestion date."""
-    return start_append(bronze_rows(messages, keep_rejects), path, checkpoint, "ingestion_date", interval)
+    """Decode a message stream and append it to bronze by ingestion date.
+
+    The progress of each batch reports its ``total`` and ``valid`` messages under ``delivery``.
+    """
+    rows = bronze_rows(messages, keep_rejects)
+    counted = rows.observe(
+        "delivery", F.count(F.lit(1)).alias("total"), F.count_if(all_present(REQUIRED)).alias("valid")
+    )
+    return start_append(counted, path, checkpoint, "ingestion_date", interval)

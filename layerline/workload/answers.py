@@ -205,6 +205,9 @@ ANSWERS = {
     "dq_teams": f"WITH {M}, {SILVER}, {DIM} {_unique('team_id', 'dim')}",
     "st_bronze": DECODED,
     "st_restart": DECODED,
+    "st_ingest": f"""WITH {M}, {DOCUMENTS} SELECT * EXCLUDE (kafka_offset),
+          COALESCE(CAST(match_id AS VARCHAR), 'unknown') AS key FROM d
+        WHERE competition_code IN ('PL', 'CL', 'BL1') AND status = 'SCHEDULED'""",
     "st_rejects": OUTCOMES,
     "load_table": f"""WITH {M}, {SILVER} SELECT event_id, match_id, competition_code, matchday, home_team_id,
           home_team_name, away_team_id, away_team_name, score_home, score_away, status, match_timestamp, match_date,

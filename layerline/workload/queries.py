@@ -288,6 +288,17 @@ def st_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(read_table(spark, f"{root}/bronze", BRONZE).drop("ingestion_date"))
 
 
+@query
+def st_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_ingest")
+    match_responses(bronze_events(spark, sf_dir)).write.json(f"{root}/landed")
+    documents = matches.explode_documents(stream_documents(spark, f"{root}/landed"))
+    events = matches.select_matches(matches.normalize_matches(documents), ["PL", "CL", "BL1"], "SCHEDULED")
+    start_append(msg.encode(events), f"{root}/topic", f"{root}/log").awaitTermination()
+    sent = read_table(spark, f"{root}/topic")
+    return sent.select("key", F.inline(F.array(F.from_json("value", EVENT)))).drop("ingested_at")
+
+
 @query
 def st_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "st_rejects")

@@ -80,6 +80,13 @@ def test_silver_rows_and_schema(spark, tmp_path):
     ]
 
 
+def test_a_message_landed_twice_is_settled_by_its_date(spark):
+    twice = bronze(spark, [("a", 1, 1, None)])
+    landed = [twice.withColumn("ingestion_date", F.lit(f"2026-01-0{day}").cast("date")) for day in (1, 3, 2)]
+    kept = to_silver(landed[0].union(landed[1]).union(landed[2])).collect()
+    assert [row.ingestion_date for row in kept] == [date(2026, 1, 3)]
+
+
 def test_counts(spark, tmp_path):
     source = bronze(spark, ROWS)
     for silver in (to_silver(source), write_silver(source, str(tmp_path / "silver"))):

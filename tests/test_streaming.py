@@ -38,6 +38,16 @@ def test_bronze_holds_every_message_once(spark, sent, tmp_path):
     assert {row[0] for row in bronze.select("ingestion_date").distinct().collect()} <= {today, date.today()}
 
 
+def test_progress_reports_the_delivery(spark, sent, tmp_path):
+    root = str(tmp_path)
+    sent.repartition(2).write.parquet(f"{root}/topic")
+    query = run(spark, root)
+    seen = [progress.observedMetrics["delivery"] for progress in query.recentProgress if progress.numInputRows]
+    assert len(seen) == 2
+    assert sum(row.total for row in seen) == sent.count()
+    assert sum(row.valid for row in seen) == msg.valid(msg.decode(sent)).count()
+
+
 def test_broken_messages_stay_as_rows_of_nulls(spark, sent, tmp_path):
     root = str(tmp_path)
     sent.write.parquet(f"{root}/topic")
