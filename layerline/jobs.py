@@ -84,10 +84,15 @@ def load(spark: SparkSession, args: argparse.Namespace) -> int:
         jdbc.create_schema(spark, "target", args.table.partition(".")[0])
     options = {"driver": args.driver} if args.driver else {}
     source = read_table(spark, args.silver, SILVER)
-    jdbc.write_jdbc(source, args.url, args.table, args.writers, **options)
-    loaded, sent = jdbc.count_jdbc(spark, args.url, args.table, **options).first()[0], source.count()
-    print(f"{loaded} rows, {len(source.columns)} columns in {args.table}")
-    return 0 if loaded == sent else 1
+    sent = source.count()
+    # A replace-load can be repeated; see write_jdbc for why the counts may differ.
+    for _ in range(args.attempts):
+        jdbc.write_jdbc(source, args.url, args.table, args.writers, **options)
+        loaded = jdbc.count_jdbc(spark, args.url, args.table, **options).first()[0]
+        print(f"{loaded} of {sent} rows, {len(source.columns)} columns in {args.table}")
+        if loaded == sent:
+            return 0
+    return 1
 
 
 def parser() -> argparse.ArgumentParser:
@@ -112,7 +117,7 @@ def parser() -> argparse.ArgumentParser:
     job("silver", rewrite_silver, "bronze", "silver")
     job("gold", build_gold, "silver", schema="analytics", path=None)
     job("check", check, "silver")
-    job("load", load, "silver", "url", table="raw.match_events", driver=None, writers=16)
+    job("load", load, "silver", "url", table="raw.match_events", driver=None, writers=16, attempts=3)
     return top
 
 

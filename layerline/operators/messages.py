@@ -27,16 +27,17 @@ def encode(
     return df.select(message_key(key).alias("key"), json_text(*(columns or df.columns)).alias("value"), *keep)
 
 
-def _reason(required: Sequence[str]) -> Column:
+def _reason(clean: Column) -> Column:
     raw = F.col("raw_value")
-    # The raw text is parsed a second time only for rows that the decoder marked as corrupt.
+    # The raw text is looked at only for broken rows, and parsed again only for corrupt ones.
     cause = (
         F.when(F.get_json_object(raw, "$").isNull(), MALFORMED)
         .when(~raw.rlike(r"^\s*\{"), NOT_OBJECT)
         .otherwise(WRONG_TYPE)
     )
     empty = raw.isNull() | ~raw.rlike(r"\S")
-    return F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).when(~all_present(required), MISSING)
+    broken = F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).otherwise(MISSING)
+    return F.when(~clean, broken)
 
 
 def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -56,12 +57,12 @@ def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[s
     # Unfolding a one-element array keeps later filters above the parse. Over a plain projection they
     # would be pushed below it, and every message would be parsed again for each filtered field.
     parsed = text.select("*", F.inline(F.array(data)))
-    reason = _reason(required)
+    clean = F.col(_CORRUPT).isNull() & all_present(required)
     return parsed.select(
         *schema.names,
         *MESSAGE_META.names,
-        reason.alias("error_reason"),
-        F.when(reason.isNotNull(), F.col("raw_value")).alias("raw_value"),
+        _reason(clean).alias("error_reason"),
+        F.when(~clean, F.col("raw_value")).alias("raw_value"),
     )
 
 

@@ -43,6 +43,20 @@ def test_gold_can_be_built_again(spark, bronze, tmp_path):
     assert spark.table("jobs_again.dim_teams").count() == expected_teams(spark, bronze)
 
 
+@pytest.mark.parametrize("extra_rows, code, loads", [([0], 0, 1), ([5, 0], 0, 2), ([5, 5, 5], 1, 3)])
+def test_load_is_repeated_until_the_counts_agree(spark, bronze, tmp_path, monkeypatch, extra_rows, code, loads):
+    silver = str(tmp_path / "silver")
+    jobs.main(["silver", "--bronze", bronze, "--silver", silver])
+    rows = spark.read.parquet(silver).count()
+    written, counts = [], iter(extra_rows)
+    monkeypatch.setattr(jobs.jdbc, "write_jdbc", lambda df, *args, **options: written.append((args, options)))
+    monkeypatch.setattr(
+        jobs.jdbc, "count_jdbc", lambda *args, **options: spark.createDataFrame([(rows + next(counts),)], "n long")
+    )
+    assert jobs.main(["load", "--silver", silver, "--url", "jdbc:x"]) == code
+    assert written == [(("jdbc:x", "raw.match_events", 16), {})] * loads
+
+
 def test_arguments():
     parse = jobs.parser().parse_args
     args = parse(["ingest", "--landed", "in", "--servers", "h", "--topic", "t", "--checkpoint", "c"])
