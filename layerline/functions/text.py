@@ -19,5 +19,7 @@ def json_text(*columns: str) -> Column:
 
 def utc_now_text() -> Column:
     """Processing time as ISO-8601 text in UTC, whatever the session zone is."""
-    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
-    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    seconds = F.unix_micros(F.current_timestamp()).cast("decimal(18,0)") / F.lit(1_000_000)
+    # Counted from a zoneless epoch: through the session zone, its clock changes would show.
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.concat(F.translate(utc.cast("string"), " ", "T"), F.lit("+00:00"))

@@ -39,11 +39,13 @@ def _local_scratch() -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it then gets a temporary folder.
+    The paths of one application lie together and can be deleted when it has ended. Only a local
+    session may go without the setting; it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_scratch()
-    return f"{base.rstrip('/')}/layerline/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/layerline/{application}/{label}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ def test_landed_documents_become_events(spark, tmp_path):
     rows = {row.event_id: row.asDict() for row in events.collect()}
     assert set(rows) == {"1-2026-01-01T00:00:00Z", "2-", "3-", None}
     first = rows["1-2026-01-01T00:00:00Z"]
-    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00", first.pop("ingested_at"))
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?\+00:00", first.pop("ingested_at"))
     assert first == {
         "event_id": "1-2026-01-01T00:00:00Z", "match_id": 1, "competition_code": "PL", "status": "SCHEDULED",
         "utc_date": "2026-01-02T20:00:00Z", "matchday": 3, "home_team_id": 10, "home_team_name": "A",
@@ -68,7 +68,7 @@ def test_utc_stamp_does_not_depend_on_the_session_zone(spark):
         text = spark.range(1).select(utc_now_text()).first()[0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert abs((datetime.now(timezone.utc) - datetime.fromisoformat(text)).total_seconds()) < 600
+    assert abs((datetime.now(timezone.utc) - datetime.fromisoformat(text)).total_seconds()) < 60
 
 
 def test_select_matches(spark):

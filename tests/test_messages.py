@@ -87,6 +87,17 @@ def test_dead_letters_hold_text_and_reason(decoded):
     assert {"original_event": None, "error_reason": msg.EMPTY} in [body for _, body in letters]
 
 
+def test_decode_takes_any_schema(spark):
+    from layerline.schemas import struct_of
+
+    schema = struct_of({"id": "long", "place": {"x": "double"}})
+    sent = as_messages(spark, ['{"id":1,"place":{"x":1.5}}', '{"place":{"x":2}}', '{"id":3,"place":{"x":"far"}}'])
+    decoded = msg.decode(sent, schema, required=["id"])
+    rows = [(r.id, r.place and r.place.x, r.error_reason) for r in decoded.orderBy("kafka_offset").collect()]
+    assert rows == [(1, 1.5, None), (None, 2.0, msg.MISSING), (3, None, msg.WRONG_TYPE)]
+    assert [r.kafka_offset for r in msg.rejects(decoded, ["id"]).collect()] == [1]
+
+
 def test_each_message_is_parsed_once(decoded):
     for frame in (msg.valid(decoded), msg.rejects(decoded), msg.delivery_counts(decoded)):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -91,7 +91,7 @@ def test_view_stores_nothing(spark):
 def test_scratch_is_below_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert first.startswith(f"{shared}/layerline/x-") and first != second
+    assert first.startswith(f"{shared}/layerline/{spark.sparkContext.applicationId}/x-") and first != second
 
 
 def test_scratch_on_a_cluster_needs_the_setting():
@@ -101,9 +101,9 @@ def test_scratch_on_a_cluster_needs_the_setting():
 
     class Cluster:
         conf = Conf()
-        sparkContext = type("Context", (), {"master": "yarn"})()
+        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "app"})()
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Cluster(), "x")
     Cluster.sparkContext.master = "local[2]"
-    assert "layerline" in scratch_path(Cluster(), "x")
+    assert "/layerline/app/x-" in scratch_path(Cluster(), "x")
