@@ -41,7 +41,9 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
 def bronze(spark: SparkSession, args: argparse.Namespace) -> int:
     stream = kafka.stream_topic(spark, args.servers, args.topic)
     interval = None if args.once else f"{args.seconds} seconds"
-    start_bronze(stream, args.bronze, args.checkpoint, interval, args.keep_rejects).awaitTermination()
+    start_bronze(
+        stream, args.bronze, args.checkpoint, interval, args.keep_rejects, args.max_writers
+    ).awaitTermination()
     return 0
 
 
@@ -112,7 +114,7 @@ def parser() -> argparse.ArgumentParser:
 
     job("ingest", ingest, "landed", "servers", "topic", "checkpoint", competitions=COMPETITIONS, status=STATUS)
     job("bronze", bronze, "servers", "topic", "bronze", "checkpoint", seconds=TRIGGER_SECONDS, once=False,
-        keep_rejects=False)
+        keep_rejects=False, max_writers=0)
     job("publish-rejects", publish_rejects, "bronze", "servers", "topic", start=None, end=None)
     job("silver", rewrite_silver, "bronze", "silver")
     job("gold", build_gold, "silver", schema="analytics", path=None)

@@ -25,13 +25,22 @@ def bronze_rows(messages: DataFrame, keep_rejects: bool = False) -> DataFrame:
 
 
 def start_append(
-    stream: DataFrame, path: str, checkpoint: str, by: str | None = None, interval: str | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    by: str | None = None,
+    interval: str | None = None,
+    max_writers: int | None = None,
 ) -> StreamingQuery:
     """Append a stream to Parquet, exactly once per checkpoint.
 
     With an interval the query runs on; without one it takes all that is available and stops.
     Read the result with Spark: the sink's ``_spark_metadata`` log lists the committed files.
+    A batch writes one file per task and partition value. ``max_writers`` bounds its tasks without a
+    shuffle, so that many topic partitions do not make as many small files and log entries.
     """
+    if max_writers:
+        stream = stream.coalesce(max_writers)
     writer = stream.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     if by:
@@ -47,6 +56,7 @@ def start_bronze(
     checkpoint: str,
     interval: str | None = f"{TRIGGER_SECONDS} seconds",
     keep_rejects: bool = False,
+    max_writers: int | None = None,
 ) -> StreamingQuery:
     """Decode a message stream and append it to bronze by ingestion date.
 
@@ -56,4 +66,4 @@ def start_bronze(
     counted = rows.observe(
         "delivery", F.count(F.lit(1)).alias("total"), F.count_if(all_present(REQUIRED)).alias("valid")
     )
-    return start_append(counted, path, checkpoint, "ingestion_date", interval)
+    return start_append(counted, path, checkpoint, "ingestion_date", interval, max_writers)

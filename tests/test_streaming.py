@@ -48,6 +48,21 @@ def test_progress_reports_the_delivery(spark, sent, tmp_path):
     assert sum(row.valid for row in seen) == msg.valid(msg.decode(sent)).count()
 
 
+def test_writers_of_a_batch_can_be_bounded(spark, sent, tmp_path):
+    root = str(tmp_path)
+    sent.repartition(6).write.parquet(f"{root}/topic")
+    for label, options, files in (("free", {}, 6), ("bounded", {"max_writers": 2}, 2)):
+        with_all = spark.readStream.schema(MESSAGE).parquet(f"{root}/topic")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+        try:
+            query = start_bronze(with_all, f"{root}/{label}", f"{root}/{label}_log", None, **options)
+            query.awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(list((tmp_path / label).glob("ingestion_date=*/*.parquet"))) == files
+        assert read_table(spark, f"{root}/{label}", BRONZE).count() == sent.count()
+
+
 def test_broken_messages_stay_as_rows_of_nulls(spark, sent, tmp_path):
     root = str(tmp_path)
     sent.write.parquet(f"{root}/topic")
