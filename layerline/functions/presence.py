@@ -8,4 +8,4 @@ from pyspark.sql import Column, functions as F
 
 def all_present(columns: Sequence[str]) -> Column:
     """True where none of the columns is null; as a filter it reaches the Parquet scan."""
-    return reduce(Column.__and__, [F.col(name).isNotNull() for name in columns])
+    return reduce(Column.__and__, [F.col(name).isNotNull() for name in columns], F.lit(True))

@@ -1,7 +1,7 @@
 """Command-line jobs for spark-submit: ``python -m layerline.jobs <job> --help``.
 
-``ingest`` publishes landed JSON to a topic, ``bronze`` lands a topic as Parquet, ``silver`` rewrites
-the clean table, ``gold`` builds the dimension and the fact, ``check`` runs the rules, ``load``
+``ingest`` publishes landed JSON to a topic, ``bronze`` lands a topic as Parquet, ``publish-rejects``
+sends its broken messages to another topic, ``silver`` rewrites the clean table, ``gold`` builds the dimension and the fact, ``check`` runs the rules, ``load``
 replaces a database table.
 """
 
@@ -16,7 +16,7 @@ from layerline.operators.matches import explode_documents, normalize_matches, se
 from layerline.operators.messages import dead_letters, encode, rejects
 from layerline.operators.quality import run_checks
 from layerline.plans import gold, silver
-from layerline.schemas import BRONZE, SILVER
+from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, SILVER
 from layerline.session import build_session
 from layerline.sources import jdbc, kafka
 from layerline.sources.files import read_table, stream_documents
@@ -48,8 +48,8 @@ def bronze(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def publish_rejects(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Publish the rejects that ``bronze --keep-rejects`` stored."""
-    landed = read_table(spark, args.bronze, None, "ingestion_date", args.start, args.end)
+    """Publish the rejects in bronze; their text and reason are there if it ran with ``--keep-rejects``."""
+    landed = read_table(spark, args.bronze, BRONZE_WITH_REJECTS, "ingestion_date", args.start, args.end)
     kafka.publish(dead_letters(rejects(landed)), args.servers, args.topic)
     return 0
 

@@ -30,7 +30,11 @@ class Rule:
 
     kind: str
     column: str
-    values: tuple[str, ...] = ()
+    values: tuple = ()
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("unique", "not_null", "accepted_values"):
+            raise ValueError(f"no such kind of rule: {self.kind}")
 
     @property
     def name(self) -> str:

@@ -68,6 +68,10 @@ FACT_COLUMNS = (
 EVENT = struct_of(_EVENT)
 MESSAGE_META = struct_of(_MESSAGE_META)
 BRONZE = struct_of({**_EVENT, **_MESSAGE_META, "ingestion_date": "date"})
+# Bronze that also keeps why a message was rejected and its text.
+BRONZE_WITH_REJECTS = struct_of(
+    {**_EVENT, **_MESSAGE_META, "ingestion_date": "date", "error_reason": "string", "raw_value": "string"}
+)
 SILVER = struct_of(
     {**_EVENT, **_MESSAGE_META, "ingestion_date": "date", "match_timestamp": "timestamp", "match_date": "date"}
 )

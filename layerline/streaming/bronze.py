@@ -7,11 +7,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from layerline.functions import all_present
 from layerline.operators.messages import decode
-from layerline.schemas import BRONZE, REQUIRED
+from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, REQUIRED
 
 # Fixed value: seconds between micro-batches.
 TRIGGER_SECONDS = 30
-REJECT_COLUMNS = ("error_reason", "raw_value")
 
 
 def bronze_rows(messages: DataFrame, keep_rejects: bool = False) -> DataFrame:
@@ -21,7 +20,7 @@ def bronze_rows(messages: DataFrame, keep_rejects: bool = False) -> DataFrame:
     are a filter on bronze and the input is neither read nor parsed a second time.
     """
     stamped = decode(messages).withColumn("ingestion_date", F.current_date())
-    return stamped.select(*BRONZE.names, *(REJECT_COLUMNS if keep_rejects else ()))
+    return stamped.select(*(BRONZE_WITH_REJECTS if keep_rejects else BRONZE).names)
 
 
 def start_append(

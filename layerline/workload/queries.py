@@ -16,7 +16,7 @@ from layerline.operators import matches, messages as msg, quality
 from layerline.operators.cleaning import keep_latest, require
 from layerline.operators.roles import role_join
 from layerline.plans import gold, silver
-from layerline.schemas import BRONZE, EVENT, MESSAGE, RESPONSE, SILVER, STAGING_COLUMNS, REQUIRED
+from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, EVENT, LATEST_FIRST, MESSAGE, REQUIRED, RESPONSE
 from layerline.session import scratch_path
 from layerline.sources.files import read_documents, read_table, stream_documents, write_partitioned
 from layerline.sources.tables import as_table, as_view, read_relation
@@ -139,7 +139,7 @@ def clean_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = require(bronze_events(spark, sf_dir), REQUIRED)
-    return plain(keep_latest(cleaned, ["event_id"], ["kafka_offset", "kafka_partition"]))
+    return plain(keep_latest(cleaned, ["event_id"], LATEST_FIRST))
 
 
 @query
@@ -305,7 +305,7 @@ def st_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged(messages(bronze_events(spark, sf_dir))).write.parquet(f"{root}/topic")
     stream = _message_stream(spark, f"{root}/topic")
     start_bronze(stream, f"{root}/bronze", f"{root}/log", None, keep_rejects=True).awaitTermination()
-    return msg.delivery_counts(read_table(spark, f"{root}/bronze"))
+    return msg.delivery_counts(read_table(spark, f"{root}/bronze", BRONZE_WITH_REJECTS))
 
 
 # Loads and the whole way

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from layerline import jobs
+from layerline.operators.messages import rejects
 from layerline.plans.silver import to_silver
 from layerline.schemas import BRONZE, FACT_COLUMNS
 from layerline.sources.files import read_table
-from layerline.workload.tables import bronze_events
+from layerline.streaming.bronze import bronze_rows
+from layerline.workload.tables import bronze_events, damaged, messages
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,22 @@ def test_gold_can_be_built_again(spark, bronze, tmp_path):
     assert spark.table("jobs_again.dim_teams").count() == expected_teams(spark, bronze)
 
 
+def test_rejects_of_a_date_range_are_published(spark, tmp_path, monkeypatch):
+    sent = damaged(messages(bronze_events(spark, "/root/testdata/sf0.001")))
+    landed = bronze_rows(sent, keep_rejects=True).withColumn("ingestion_date", F.col("kafka_timestamp").cast("date"))
+    landed.write.partitionBy("ingestion_date").parquet(str(tmp_path / "bronze"))
+    published = []
+    monkeypatch.setattr(jobs.kafka, "publish", lambda letters, *target: published.append((letters, target)))
+    args = ["publish-rejects", "--bronze", str(tmp_path / "bronze"), "--servers", "h", "--topic", "broken"]
+    assert jobs.main(args) == jobs.main([*args, "--start", "2024-01-05", "--end", "2024-01-09"]) == 0
+    (all_letters, target), (some_letters, _) = published
+    assert target == ("h", "broken") and all_letters.columns == ["key", "value"]
+    expected = rejects(landed)
+    assert all_letters.count() == expected.count() > 0
+    days = expected.where("ingestion_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-09'")
+    assert some_letters.count() == days.count() > 0
+
+
 @pytest.mark.parametrize("extra_rows, code, loads", [([0], 0, 1), ([5, 0], 0, 2), ([5, 5, 5], 1, 3)])
 def test_load_is_repeated_until_the_counts_agree(spark, bronze, tmp_path, monkeypatch, extra_rows, code, loads):
     silver = str(tmp_path / "silver")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from layerline.operators import quality
@@ -15,6 +16,11 @@ def test_rules_return_failing_rows(spark):
     assert [tuple(row) for row in quality.accepted_values(df, "c", ["PL"]).collect()] == [("XX", 2)]
 
 
+def test_unknown_kind_is_refused():
+    with pytest.raises(ValueError, match="no such kind"):
+        quality.Rule("uniq", "k")
+
+
 def test_declared_rules():
     assert [rule.name for rule in SILVER_RULES] == [
         "unique_event_id", "not_null_event_id", "not_null_match_id", "not_null_competition_code",

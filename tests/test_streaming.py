@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerline.operators import messages as msg
-from layerline.schemas import BRONZE, MESSAGE
+from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, MESSAGE
 from layerline.sources.files import read_table
 from layerline.streaming.bronze import bronze_rows, start_append, start_bronze
 from layerline.workload.tables import bronze_events, damaged, messages
@@ -102,7 +102,7 @@ def test_rejects_are_read_from_bronze(spark, sent, tmp_path):
     root = str(tmp_path)
     sent.write.parquet(f"{root}/topic")
     run(spark, root, keep_rejects=True)
-    bronze = read_table(spark, f"{root}/bronze")
+    bronze = read_table(spark, f"{root}/bronze", BRONZE_WITH_REJECTS)
     rejected = msg.rejects(bronze)
     decoded = msg.decode(sent)
     columns = ["kafka_offset", "error_reason", "raw_value"]
