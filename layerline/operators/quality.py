@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,7 +59,7 @@ def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule: ``rule``, ``failures``, ``rows_affected``, ``passed``.
 
     ``failures`` counts failing rows for ``not_null`` and failing values for the other kinds. All
-    row-level rules share one scan that emits only breaches; each ``unique`` rule needs its own
+    row-level rules share one scan that passes on only rows with a breach; each ``unique`` rule needs its own
     shuffle on the column, with copies combined before it.
     """
     listed = [F.struct(F.lit(rule.name).alias("rule")) for rule in rules]
@@ -72,8 +73,10 @@ def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.when(rule.breach(), F.struct(F.lit(rule.name).alias("rule"), F.col(rule.column).cast("string").alias("value")))
             for rule in row_level
         ])
+        any_breach = reduce(Column.__or__, [rule.breach() for rule in row_level])
         by_value = (
-            df.select(F.inline(F.array_compact(breaches)))
+            df.where(any_breach)
+            .select(F.inline(F.array_compact(breaches)))
             .groupBy("rule", "value")
             .agg(F.count("*").alias("n"))
         )
