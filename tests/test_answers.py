@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from layerline.workload.answers import ANSWERS
+from layerline.workload.queries import QUERIES
 from tests.compare import answer_rows, connect, spark_rows
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -18,14 +20,16 @@ def con():
 
 
 def test_every_query_has_an_answer():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ANSWERS)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry_returns_rows(spark):
     assert entry_point.entry(spark).take(1)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_answer(spark, con, name):
     expected_names, expected = answer_rows(con, entry_point.oracle_sql()[name])
     names, found = spark_rows(entry_point.queries()[name](spark, SF_DIR))
