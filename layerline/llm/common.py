@@ -33,7 +33,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = whole_text(text_col)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"),
-        F.crc32(text).cast("int").alias("k2"),
+        (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("k2"),
         text.alias("text"),
     )
 

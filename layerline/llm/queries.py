@@ -1,13 +1,23 @@
-"""One query per operator over its whole table, and the SQL answers where SQL can express them."""
+"""One query per operator over its whole table, the pipeline, and the SQL answers where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from layerline.llm.exact_copies import exact_copies
+from layerline.llm.jaccard import jaccard_classes
+from layerline.llm.language import held_out, language_id
+from layerline.llm.mixing import mix_to_targets
+from layerline.llm.pieces import piece_ids
+from layerline.llm.quality import quality_rules
+from layerline.llm.repeats import repeated_strings, repeated_words
+from layerline.llm.secrets import secret_scan
 from layerline.llm.shipping import ship
+from layerline.llm.token_files import read_token_files, write_token_files
+from layerline.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ANSWERS: dict[str, str] = {}
@@ -23,6 +33,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(documents(spark, sf_dir))
+
+
+@query
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(documents(spark, sf_dir))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id(docs, docs.where(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir), keep="largest")
@@ -36,3 +73,36 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+@query
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = piece_ids(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip")
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token_files")
+    write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_token_files(spark, path)
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mix_to_targets(docs, corpus_pipeline.labelled_domains(spark, sf_dir), corpus_pipeline.TARGETS)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
