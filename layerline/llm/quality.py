@@ -62,8 +62,9 @@ def repeated_window_words(words: Column, width: int = 8) -> Column:
         words,
         lambda w: F.sort_array(
             F.transform(
-                F.sequence(F.lit(1), F.size(w) - width + 1),
-                lambda i: F.struct(F.xxhash64(F.slice(w, i, width)).alias("h"), i.alias("at")),
+                F.sequence(F.lit(0), F.size(w) - width),
+                # Not slice(), which copies the whole array at every call.
+                lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(width)]).alias("h"), i.alias("at")),
             )
         ),
     )
