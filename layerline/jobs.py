@@ -48,7 +48,9 @@ def bronze(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def publish_rejects(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Publish the rejects in bronze; their text and reason are there if it ran with ``--keep-rejects``."""
+    """Publish the rejects in bronze; refused when it ran without ``--keep-rejects``, as their text is not there."""
+    if not {"error_reason", "raw_value"} <= set(spark.read.parquet(args.bronze).columns):
+        raise ValueError(f"{args.bronze} holds no text of rejects: run bronze with --keep-rejects")
     landed = read_table(spark, args.bronze, BRONZE_WITH_REJECTS, "ingestion_date", args.start, args.end)
     kafka.publish(dead_letters(rejects(landed)), args.servers, args.topic)
     return 0
@@ -81,9 +83,9 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def load(spark: SparkSession, args: argparse.Namespace) -> int:
-    if args.driver:
+    if args.driver and "." in args.table:
         jdbc.connect_catalog(spark, "target", args.url, args.driver)
-        jdbc.create_schema(spark, "target", args.table.partition(".")[0])
+        jdbc.create_schema(spark, "target", args.table.rpartition(".")[0])
     options = {"driver": args.driver} if args.driver else {}
     source = read_table(spark, args.silver, SILVER)
     sent = source.count()
@@ -108,7 +110,7 @@ def parser() -> argparse.ArgumentParser:
         for flag, default in optional.items():
             kind = {"action": "store_true"} if default is False else {"default": default, "type": type(default or "")}
             if isinstance(default, tuple):
-                kind = {"default": list(default), "nargs": "*"}
+                kind = {"default": list(default), "nargs": "+"}
             sub.add_argument(f"--{flag.replace('_', '-')}", **kind)
         sub.set_defaults(run=run)
 

@@ -22,13 +22,18 @@ DEFAULTS = {
 
 
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the library's settings. The master is left to spark-submit unless given."""
+    """Session with the library's settings where nobody set them. The master is left to spark-submit unless given."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.conf.getAll
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
 
 
 @cache

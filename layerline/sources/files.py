@@ -7,6 +7,8 @@ from pyspark.sql.types import StructType
 
 from layerline.schemas import RESPONSE
 
+ANY_AGE = "36500d"
+
 
 def read_table(
     spark: SparkSession,
@@ -56,5 +58,8 @@ def read_documents(
 
 
 def stream_documents(spark: SparkSession, path: str, schema: StructType = RESPONSE, **options: str) -> DataFrame:
-    """The same responses as a stream over the files that land in a directory."""
-    return spark.readStream.schema(schema).options(**options).json(path)
+    """The same responses as a stream over the files that land in a directory.
+
+    Files count whatever their modification time: the source's own limit would skip backfilled ones.
+    """
+    return spark.readStream.schema(schema).options(**{"maxFileAge": ANY_AGE, **options}).json(path)

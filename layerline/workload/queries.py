@@ -87,7 +87,7 @@ def select_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def select_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.select_matches(bronze_events(spark, sf_dir).select(*EVENT.names), status="IN_PLAY")
+    return matches.select_matches(bronze_events(spark, sf_dir).select(*EVENT.names), status="LIVE")
 
 
 @query

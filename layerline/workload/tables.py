@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 COMPETITIONS = ("PL", "CL", "BL1", "SA", "PD", "FL1", "XX")
 STATUSES = {
     "signup": "SCHEDULED",
-    "view": "IN_PLAY",
+    "view": "LIVE",
     "click": "FINISHED",
     "purchase": "POSTPONED",
     "error": "SUSPENDED",
@@ -67,7 +67,7 @@ def bronze_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_responses(bronze: DataFrame) -> DataFrame:
     """The same records as nested documents: one numbered response per record, holding it alone.
 
-    Every 50th response lacks its array and every 50th has an empty one.
+    Beside every 50th lies one without its array, and beside every other 50th one with an empty array.
     """
     sides = {
         side: F.struct(F.col(f"{side}_team_id").alias("id"), F.col(f"{side}_team_name").alias("name"))
@@ -86,8 +86,11 @@ def match_responses(bronze: DataFrame) -> DataFrame:
         F.struct(full_time.alias("fullTime")).alias("score"),
     )
     place = F.col("kafka_offset") % 50
-    matches = F.when(place == 1, F.slice(F.array(document), 1, 0)).when(place != 0, F.array(document))
-    return bronze.select(F.col("kafka_offset").alias("sequence"), matches.alias("matches"))
+    full = F.array(document)
+    extra = F.when(place == 1, F.slice(full, 1, 0))
+    envelope = lambda matches: F.struct(F.col("kafka_offset").alias("sequence"), matches.alias("matches"))
+    envelopes = F.when(place < 2, F.array(envelope(full), envelope(extra))).otherwise(F.array(envelope(full)))
+    return bronze.select(F.inline(envelopes))
 
 
 def messages(events: DataFrame) -> DataFrame:

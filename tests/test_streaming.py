@@ -145,3 +145,26 @@ def test_append_without_partitions(spark, sent, tmp_path):
     stream = spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in"))
     start_append(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == sent.count()
+
+
+def test_old_files_are_read(spark, tmp_path):
+    import os
+    import time
+
+    from layerline.sources.files import stream_documents
+
+    landed = tmp_path / "landed"
+    landed.mkdir()
+
+    def cycle():
+        stream_documents(spark, str(landed)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "log")
+        ).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    (landed / "new.json").write_text('{"matches": []}\n')
+    assert cycle() == 1
+    (landed / "old.json").write_text('{"matches": []}\n')
+    past = time.time() - 10 * 86400
+    os.utime(landed / "old.json", (past, past))
+    assert cycle() == 2
