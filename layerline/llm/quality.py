@@ -11,12 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from layerline.llm.common import SPACE, whole_text
+from layerline.llm.common import stored, whole_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Character classes by the characters that a pattern leaves when all others are removed; the rest is "other".
-CLASSES = (r"\P{Ll}+", r"\P{Lu}+", r"\P{Nd}+", r"[^\x20\x09-\x0D]+", r"\P{P}+")
+#: Character classes by the characters that a pattern leaves when all others are removed; then come the blanks and the rest.
+CLASSES = (r"\P{Ll}+", r"\P{Lu}+", r"\P{Nd}+", r"\P{P}+")
+N_CLASSES = len(CLASSES) + 2
+#: A common word has at most this many characters, which bounds the references that are broadcast.
+LONGEST_COMMON = 64
+MOST_BROADCAST = 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,11 +29,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    for character in characters:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+    for space in SPACES[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """A 64-bit hash of each window, from hashes of windows of half its length; the array has ``width`` words at least."""
+
+    def wider(hashes: Column, span: int) -> Column:
+        if span == width:
+            return F.slice(hashes, F.lit(1), F.size(words) - width + 1)
+        step = min(span, width - span)
+        # Past the end there is nothing to add; those windows are sliced off.
+        both = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+        return let(both, lambda found: wider(found, span + step))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: wider(hashes, 1))
 
 
 def repeated_window_words(words: Column, width: int = 8) -> Column:
@@ -58,17 +80,12 @@ def repeated_window_words(words: Column, width: int = 8) -> Column:
             ),
         )
 
-    windows = let(
-        words,
-        lambda w: F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - width),
-                # Not slice(), which copies the whole array at every call.
-                lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(width)]).alias("h"), i.alias("at")),
-            )
-        ),
-    )
-    return F.when(F.size(words) > width, let(windows, covered)).otherwise(0).cast("long")
+    def counted(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        # Most texts repeat no window, which their number of distinct hashes tells without a sort.
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(0)
+
+    return F.when(F.size(words) > width, let(window_hashes(words, width), counted)).otherwise(0).cast("long")
 
 
 def entropy_term(p: Column, middle: Column) -> Column:
@@ -86,10 +103,11 @@ def shares(counts: Column) -> Column:
         c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class and of none."""
+def class_counts(text: Column, word_chars: Column) -> Column:
+    """Characters of each class, blanks and characters of no class."""
     counts = [F.length(F.regexp_replace(text, left, "")).cast("long") for left in CLASSES]
-    return let(F.array(*counts), lambda c: F.concat(c, F.array(
+    blanks = F.length(text).cast("long") - word_chars
+    return let(F.array(*counts, blanks), lambda c: F.concat(c, F.array(
         F.greatest(F.length(text).cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))))
 
 
@@ -101,23 +119,29 @@ def word_counts(words: Column, common: Column) -> Column:
     ))
 
 
-def references(measured: DataFrame, top: int) -> DataFrame:
-    """One row per language: its ``top`` commonest words, their shares and the shares of the character classes."""
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    classes = measured.groupBy("lang").agg(*sums, F.sum("n_words").alias("total")).select(
-        "lang", "total", shares(F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)])).alias("class_reference"))
-    counted = measured.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
+def word_references(worded: DataFrame, top: int) -> DataFrame:
+    """One row per language: its ``top`` commonest words and their shares, and the share of all others."""
+    counted = worded.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    short = F.length("word") <= LONGEST_COMMON
+    per_language = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    ranked = counted.where(short).withColumn("rank", rank).where(F.col("rank") <= top)
     common = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    return classes.join(common, "lang").select(
-        "lang", "class_reference", F.col("top.word").alias("common"),
-        let(F.col("top"), lambda t: F.concat(
-            F.transform(t, lambda x: x["n"] / F.col("total")),
-            F.array(1 - F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + x["n"]) / F.col("total")),
+    return per_language.join(common, "lang", "left").select(
+        "lang",
+        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
+        let(F.coalesce(F.col("top.n"), F.array().cast("array<bigint>")), lambda t: F.concat(
+            F.transform(t, lambda n: n / F.col("total")),
+            F.array(1 - F.aggregate(t, F.lit(0).cast("long"), lambda s, n: s + n) / F.col("total")),
         )).alias("word_reference"),
     )
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table of one bounded row per language: broadcast up to ``MOST_BROADCAST`` rows, joined by size beyond."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 16,
     least_words: int = 100, most_class_distance: float = 0.35, most_word_distance: float = 0.55,
@@ -130,28 +154,36 @@ def quality_rules(
     Null texts have no words and fail. An empty table gives no rows.
     """
     text = whole_text(text_col)
-    measured = docs.select(
+    worded = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         text.alias("text"),
         words_of(text).alias("words"),
-    ).withColumns({"n_words": F.size("words").cast("long"), "classes": class_counts(F.col("text"))})
-    # The references hold ``top`` words per language; Spark broadcasts them only below its size threshold.
-    judged = measured.join(references(measured, top), "lang", "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda line: without(line, SPACES) != "")
+    )
+    common = bounded(stored(word_references(worded, top), "word_references"))
+    lines = F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
+    measured = stored(
+        worded.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long")).join(common, "lang", "left").select(
+            "doc_id",
+            "lang",
+            F.size("words").cast("long").alias("n_words"),
+            "word_chars",
+            (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+            let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+            repeated_window_words(F.col("words")).alias("n_repeat_words"),
+            class_counts(F.col("text"), F.col("word_chars")).alias("classes"),
+            js_distance(shares(word_counts(F.col("words"), F.col("common"))), F.col("word_reference")).alias("word_distance"),
+        ),
+        "quality_measures",
+    )
+    span = range(N_CLASSES)
+    sums = measured.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in span])
+    classes = bounded(stored(sums.select("lang", shares(F.array(*[f"c{i}" for i in span])).alias("class_reference")), "class_references"))
     n_words, n_repeat = F.col("n_words"), F.col("n_repeat_words")
     failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
     close = (F.col("class_distance") <= most_class_distance) & (F.col("word_distance") <= most_word_distance)
+    judged = measured.join(classes, "lang", "left").withColumn("class_distance", js_distance(shares(F.col("classes")), F.col("class_reference")))
     return judged.select(
-        "doc_id",
-        "n_words",
-        F.length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("words")).alias("n_repeat_words"),
-        js_distance(shares(F.col("classes")), F.col("class_reference")).alias("class_distance"),
-        js_distance(shares(word_counts(F.col("words"), F.col("common"))), F.col("word_reference")).alias("word_distance"),
-    ).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ((n_words < least_words) | F.coalesce(close, F.lit(True)))).alias("kept"),
         F.round("class_distance", 6).alias("class_distance"),
