@@ -10,6 +10,8 @@ little-endian 32-bit; ids holds the documents' ids as 64-bit integers and n_toke
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,10 +20,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from layerline.llm.common import NO_ID, id_of, record, slices, to_arrow, whole_text
+from layerline.llm.common import NO_ID, id_of, record, slices, stored, to_arrow, whole_text
 
 FILE = "shard int, block int, ids binary, n_tokens binary, rules binary, expansion binary, sequence binary, vocabulary int"
 TOKENIZERS: dict = {}
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def compress(ids: np.ndarray, first: int, most_rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +39,9 @@ def compress(ids: np.ndarray, first: int, most_rounds: int = 24, least: int = 8)
         if len(sequence) < 2:
             break
         pair = (sequence[:-1] << 32) | sequence[1:]
-        found, count = np.unique(pair, return_counts=True)
+        # A pair is in no fewer than ``least`` places only if its cell is: the others need no exact count.
+        cell = ((pair.view(np.uint64) * SPREAD) >> np.uint64(44)).astype(np.int32)
+        found, count = np.unique(pair[np.bincount(cell, minlength=1 << 20)[cell] >= least], return_counts=True)
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
@@ -91,18 +96,62 @@ def span(rules: np.ndarray, expansion: np.ndarray, sequence: np.ndarray, first:
     return expand(rules, sequence[a:b], first)[start - skipped : end - skipped]
 
 
+class ChunkEncoder:
+    """Ids of whole texts by the tokenizers library, which is asked once for each distinct chunk.
+
+    A byte-level tokenizer without normaliser never joins what stands on both sides of a lone blank between two other
+    characters: the blank begins the next token. Such texts are cut there. Texts of any other tokenizer are one chunk.
+    """
+
+    BORDER = re.compile(r"(?<=\S)(?=\x20\S)")
+    MOST_CHUNKS, LONGEST = 500_000, 64
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.cuts = (
+            before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+            and not made["normalizer"] and not made["truncation"] and not made["padding"]
+            and all(token["special"] for token in made["added_tokens"])
+        )
+        self.known: dict[str, list[int]] = {}
+
+    def chunks(self, text: str) -> list[str]:
+        return self.BORDER.split(text) if self.cuts else [text]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.chunks(text) for text in texts]
+        known = self.known
+        new = list({c for chunks in cut for c in chunks if c not in known})
+        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[chunk] = found.ids
+        out = []
+        for chunks in cut:
+            ids: list[int] = []
+            for chunk in chunks:
+                ids += known[chunk]
+            out.append(np.array(ids, np.int32))
+        for chunk in new:
+            if len(chunk) > self.LONGEST:
+                del known[chunk]
+        if len(known) > self.MOST_CHUNKS:
+            known.clear()
+        return out
+
+
 def encoder(path: str, end_id: int, block_tokens: int):
-    def tokenizer():
+    def tokenizer() -> ChunkEncoder:
         if path not in TOKENIZERS:
-            from tokenizers import Tokenizer
-
-            TOKENIZERS[path] = Tokenizer.from_file(path)
-            TOKENIZERS[path].encode_special_tokens = True
+            TOKENIZERS[path] = ChunkEncoder(path)
         return TOKENIZERS[path]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, encode = to_arrow(FILE), tokenizer()
-        first = max(encode.get_vocab_size(), end_id + 1)
+        first = max(encode.tokenizer.get_vocab_size(), end_id + 1)
         shard, block = TaskContext.get().partitionId(), 0
         ids, lists, total = [], [], 0
 
@@ -114,8 +163,8 @@ def encoder(path: str, end_id: int, block_tokens: int):
             )
 
         for batch in slices(batches, 1 << 20):
-            for key, text in zip(batch.column("k1").to_pylist(), batch.column("text").to_pylist()):
-                tokens = np.array([*encode.encode(text, add_special_tokens=False).ids, end_id], np.int32)
+            for key, found in zip(batch.column("k1").to_pylist(), encode(batch.column("text").to_pylist())):
+                tokens = np.append(found, np.int32(end_id))
                 if lists and total + len(tokens) > block_tokens:
                     yield written()
                     block, ids, lists, total = block + 1, [], [], 0
@@ -161,7 +210,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    decoded = spark.read.schema(FILE).parquet(path).mapInArrow(decode_blocks, "shard int, block int, place int, k1 long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(FILE).parquet(path)
+    decoded = stored(files.mapInArrow(decode_blocks, "shard int, block int, place int, k1 long, n_tokens long, ids_crc32 long"), "decoded_blocks")
     blocks = decoded.groupBy("shard", "block").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     in_shard = blocks.select("shard", "block", F.coalesce(before, F.lit(0)).alias("block_before"))
