@@ -15,9 +15,12 @@ from layerline.llm.common import stored, whole_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Character classes by the characters that a pattern leaves when all others are removed; then come the blanks and the rest.
-CLASSES = (r"\P{Ll}+", r"\P{Lu}+", r"\P{Nd}+", r"\P{P}+")
-N_CLASSES = len(CLASSES) + 2
+#: What is neither a lower-case letter nor the plain blank is short; the other classes are counted in it, by the
+#: characters that a pattern leaves when all others are removed.
+PLAIN = r"[\p{Ll}\x20]+"
+CLASSES = (r"\P{Lu}+", r"\P{Nd}+", r"\P{P}+")
+#: Lower-case letters, the classes above, white space, and the rest.
+N_CLASSES = len(CLASSES) + 3
 #: A common word has at most this many characters, which bounds the references that are broadcast.
 LONGEST_COMMON = 64
 MOST_BROADCAST = 10_000
@@ -41,17 +44,21 @@ def words_of(text: Column) -> Column:
 
 
 def window_hashes(words: Column, width: int) -> Column:
-    """A 64-bit hash of each window, from hashes of windows of half its length; the array has ``width`` words at least."""
+    """A 64-bit hash of each window: of up to four words at once, then from pairs of shorter windows.
+
+    The array has ``width`` words at least. Past the end there is nothing to add; those windows are sliced off.
+    """
 
     def wider(hashes: Column, span: int) -> Column:
         if span == width:
             return F.slice(hashes, F.lit(1), F.size(words) - width + 1)
         step = min(span, width - span)
-        # Past the end there is nothing to add; those windows are sliced off.
         both = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
         return let(both, lambda found: wider(found, span + step))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: wider(hashes, 1))
+    few = min(4, width)
+    first = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, few)]))
+    return let(first, lambda hashes: wider(hashes, few))
 
 
 def repeated_window_words(words: Column, width: int = 8) -> Column:
@@ -103,12 +110,17 @@ def shares(counts: Column) -> Column:
         c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
-def class_counts(text: Column, word_chars: Column) -> Column:
-    """Characters of each class, blanks and characters of no class."""
-    counts = [F.length(F.regexp_replace(text, left, "")).cast("long") for left in CLASSES]
-    blanks = F.length(text).cast("long") - word_chars
-    return let(F.array(*counts, blanks), lambda c: F.concat(c, F.array(
-        F.greatest(F.length(text).cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))))
+def class_counts(text: Column, rest: Column, word_chars: Column) -> Column:
+    """Characters of each class; ``rest`` is the text without what ``PLAIN`` matches."""
+
+    def size(value: Column) -> Column:
+        return F.length(value).cast("long")
+
+    blanks = size(text) - word_chars
+    lower = size(text) - size(rest) - (blanks - (size(rest) - size(without(rest, SPACES))))
+    counts = [lower, *[size(F.regexp_replace(rest, left, "")) for left in CLASSES], blanks]
+    return let(F.array(*counts), lambda c: F.concat(c, F.array(
+        F.greatest(size(text) - F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))))
 
 
 def word_counts(words: Column, common: Column) -> Column:
@@ -119,22 +131,23 @@ def word_counts(words: Column, common: Column) -> Column:
     ))
 
 
-def word_references(worded: DataFrame, top: int) -> DataFrame:
-    """One row per language: its ``top`` commonest words and their shares, and the share of all others."""
+def common_words(worded: DataFrame, top: int) -> DataFrame:
+    """One row per language with words: its ``top`` commonest words and how often each occurs."""
     counted = worded.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    short = F.length("word") <= LONGEST_COMMON
-    per_language = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    ranked = counted.where(short).withColumn("rank", rank).where(F.col("rank") <= top)
-    common = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    return per_language.join(common, "lang", "left").select(
-        "lang",
-        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
-        let(F.coalesce(F.col("top.n"), F.array().cast("array<bigint>")), lambda t: F.concat(
-            F.transform(t, lambda n: n / F.col("total")),
-            F.array(1 - F.aggregate(t, F.lit(0).cast("long"), lambda s, n: s + n) / F.col("total")),
-        )).alias("word_reference"),
-    )
+    ranked = counted.where(F.length("word") <= LONGEST_COMMON).withColumn("rank", rank).where(F.col("rank") <= top)
+    found = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    return found.select("lang", F.col("top.word").alias("common"), F.col("top.n").alias("times"))
+
+
+def references(measured: DataFrame, common: DataFrame) -> DataFrame:
+    """One row per language: the shares of its character classes, and of its common words and all others."""
+    span = range(N_CLASSES)
+    sums = measured.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in span], F.sum("n_words").alias("total"))
+    times = F.coalesce("times", F.array().cast("array<bigint>"))
+    others = let(times, lambda t: F.concat(t, F.array(F.col("total") - F.aggregate(t, F.lit(0).cast("long"), lambda s, n: s + n))))
+    return sums.join(common, "lang", "left").select(
+        "lang", shares(F.array(*[f"c{i}" for i in span])).alias("class_reference"), shares(others).alias("word_reference"))
 
 
 def bounded(table: DataFrame) -> DataFrame:
@@ -160,29 +173,32 @@ def quality_rules(
         text.alias("text"),
         words_of(text).alias("words"),
     )
-    common = bounded(stored(word_references(worded, top), "word_references"))
+    common = bounded(stored(common_words(worded, top), "common_words"))
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     measured = stored(
-        worded.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long")).join(common, "lang", "left").select(
+        worded.withColumns({
+            "word_chars": F.length(F.array_join("words", "")).cast("long"), "rest": F.regexp_replace("text", PLAIN, ""),
+        }).join(common, "lang", "left").select(
             "doc_id",
             "lang",
             F.size("words").cast("long").alias("n_words"),
             "word_chars",
-            (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+            (F.length("rest") - F.length(without(F.col("rest"), SYMBOLS))).cast("long").alias("n_symbols"),
             let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
             repeated_window_words(F.col("words")).alias("n_repeat_words"),
-            class_counts(F.col("text"), F.col("word_chars")).alias("classes"),
-            js_distance(shares(word_counts(F.col("words"), F.col("common"))), F.col("word_reference")).alias("word_distance"),
+            class_counts(F.col("text"), F.col("rest"), F.col("word_chars")).alias("classes"),
+            word_counts(F.col("words"), F.coalesce("common", F.array().cast("array<string>"))).alias("word_counts"),
         ),
         "quality_measures",
     )
-    span = range(N_CLASSES)
-    sums = measured.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in span])
-    classes = bounded(stored(sums.select("lang", shares(F.array(*[f"c{i}" for i in span])).alias("class_reference")), "class_references"))
+    known = bounded(stored(references(measured, common), "quality_references"))
     n_words, n_repeat = F.col("n_words"), F.col("n_repeat_words")
     failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
     close = (F.col("class_distance") <= most_class_distance) & (F.col("word_distance") <= most_word_distance)
-    judged = measured.join(classes, "lang", "left").withColumn("class_distance", js_distance(shares(F.col("classes")), F.col("class_reference")))
+    judged = measured.join(known, "lang", "left").withColumns({
+        "class_distance": js_distance(shares(F.col("classes")), F.col("class_reference")),
+        "word_distance": js_distance(shares(F.col("word_counts")), F.col("word_reference")),
+    })
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ((n_words < least_words) | F.coalesce(close, F.lit(True)))).alias("kept"),
