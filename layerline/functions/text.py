@@ -22,4 +22,7 @@ def utc_now_text() -> Column:
     seconds = F.unix_micros(F.current_timestamp()).cast("decimal(18,0)") / F.lit(1_000_000)
     # Counted from a zoneless epoch: through the session zone, its clock changes would show.
     utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.concat(F.translate(utc.cast("string"), " ", "T"), F.lit("+00:00"))
+    written = F.translate(utc.cast("string"), " ", "T")
+    # Text of a time leaves out trailing zeros of its fraction; here it always has six digits.
+    whole = F.when(F.length(written) == 19, F.concat(written, F.lit("."))).otherwise(written)
+    return F.concat(F.rpad(whole, 26, "0"), F.lit("+00:00"))

@@ -62,6 +62,9 @@ def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     row-level rules share one scan that passes on only rows with a breach; each ``unique`` rule needs its own
     shuffle on the column, with copies combined before it.
     """
+    names = [rule.name for rule in rules]
+    if len(set(names)) < len(names):
+        raise ValueError("two rules of one kind on one column would share a result row: check them apart")
     listed = [F.struct(F.lit(rule.name).alias("rule")) for rule in rules]
     # A zero line per rule, so that rules without a breach are reported too.
     blank = df.sparkSession.range(1).select(F.inline(F.array(*listed)))

@@ -18,12 +18,14 @@ def create_schema(spark: SparkSession, catalog: str, schema: str) -> None:
 
 
 def load_options(url: str, table: str, writers: int = 16, batch_rows: int = 1000, **options: str) -> dict[str, str]:
-    return {"url": url, "dbtable": table, "numPartitions": str(writers), "batchsize": str(batch_rows), **options}
+    return {"url": url, "dbtable": table, "numPartitions": str(writers), "batchsize": str(batch_rows), "truncate": "true", **options}
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, writers: int = 16, batch_rows: int = 1000, **options: str) -> None:
     """Replace a database table, with at most ``writers`` connections open at a time.
 
+    The table is emptied and kept, with the views that depend on it; ``truncate="false"`` makes it anew.
+
     A task commits its own transaction, so one that is lost after its commit and run again leaves
     its rows twice. Compare ``count_jdbc`` with the source and load again if they differ.
     """

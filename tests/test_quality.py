@@ -58,3 +58,9 @@ def test_run_checks_against_brute_force(spark, rows):
     for rule in rules:
         failing = rule.failing(df).count()
         assert failing == found[rule.name][0]
+
+
+def test_rules_that_share_a_name_are_refused(spark):
+    rules = [quality.Rule("accepted_values", "a", (1,)), quality.Rule("accepted_values", "a", (2,))]
+    with pytest.raises(ValueError):
+        quality.run_checks(spark.createDataFrame([(1,)], "a int"), rules)

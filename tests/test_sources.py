@@ -53,7 +53,7 @@ def test_jdbc_write_replaces_in_batches():
     jdbc.write_jdbc(rows, "jdbc:x", "raw.match_events", user="u")
     assert rows.seen["mode"] == ("overwrite",)
     assert rows.seen["options"] == {
-        "url": "jdbc:x", "dbtable": "raw.match_events", "numPartitions": "16", "batchsize": "1000", "user": "u",
+        "url": "jdbc:x", "dbtable": "raw.match_events", "numPartitions": "16", "batchsize": "1000", "truncate": "true", "user": "u",
     }
 
 
