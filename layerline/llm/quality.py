@@ -6,6 +6,7 @@ language by Jensen-Shannon distance (base 2, 0 to 1). The references are compute
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,9 @@ N_CLASSES = len(CLASSES) + 3
 #: A common word has at most this many characters, which bounds the references that are broadcast.
 LONGEST_COMMON = 64
 MOST_BROADCAST = 10_000
+#: Chance alone takes a text of n words to about sqrt(k / (8 ln 2 n)) from its language over k common words: this many
+#: times as far is no sign of another language.
+CHANCE = 1.5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,13 +145,25 @@ def common_words(worded: DataFrame, top: int) -> DataFrame:
 
 
 def references(measured: DataFrame, common: DataFrame) -> DataFrame:
-    """One row per language: the shares of its character classes, and of its common words and all others."""
+    """One row per language: the shares of its character classes, and of its common words and all others.
+
+    ``bare_distance`` is that of a text without any common word, ``n_common`` the number of common words.
+    """
     span = range(N_CLASSES)
     sums = measured.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in span], F.sum("n_words").alias("total"))
     times = F.coalesce("times", F.array().cast("array<bigint>"))
     others = let(times, lambda t: F.concat(t, F.array(F.col("total") - F.aggregate(t, F.lit(0).cast("long"), lambda s, n: s + n))))
-    return sums.join(common, "lang", "left").select(
+    known = sums.join(common, "lang", "left").select(
         "lang", shares(F.array(*[f"c{i}" for i in span])).alias("class_reference"), shares(others).alias("word_reference"))
+    n_common = F.size("word_reference") - 1
+    bare = F.transform("word_reference", lambda _, i: F.when(i == n_common, 1.0).otherwise(0.0))
+    return known.withColumns({"bare_distance": js_distance(bare, F.col("word_reference")), "n_common": n_common})
+
+
+def word_limit(n_words: Column, share: float, most: float) -> Column:
+    """The largest distance of a text of that many words: that share of the bare distance, or more by chance, and at most ``most``."""
+    chance = CHANCE * F.sqrt(F.col("n_common") / (8 * math.log(2) * F.greatest(n_words, F.lit(1))))
+    return F.least(F.lit(most), F.greatest(share * F.col("bare_distance"), chance))
 
 
 def bounded(table: DataFrame) -> DataFrame:
@@ -157,13 +173,14 @@ def bounded(table: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 16,
-    least_words: int = 100, most_class_distance: float = 0.35, most_word_distance: float = 0.55,
+    least_words: int = 100, most_class_distance: float = 0.35, most_word_distance: float = 0.55, most_bare_share: float = 0.85,
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance,
     word_distance``, one row per row of ``docs``.
 
     A document that passes the base rules is dropped when it has at least ``least_words`` words and lies farther from
-    its language than one of the distances allows. Documents of an unknown (null) language form a language of their own.
+    its language than one of the distances allows. The word distance is also limited to ``most_bare_share`` of the
+    distance of a text without any common word of the language, or to what chance makes of so few words. Documents of an unknown (null) language form a language of their own.
     Null texts have no words and fail. An empty table gives no rows.
     """
     text = whole_text(text_col)
@@ -194,7 +211,8 @@ def quality_rules(
     known = bounded(stored(references(measured, common), "quality_references"))
     n_words, n_repeat = F.col("n_words"), F.col("n_repeat_words")
     failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-    close = (F.col("class_distance") <= most_class_distance) & (F.col("word_distance") <= most_word_distance)
+    close = (F.col("class_distance") <= most_class_distance) & (
+        F.col("word_distance") <= word_limit(n_words, most_bare_share, most_word_distance))
     judged = measured.join(known, "lang", "left").withColumns({
         "class_distance": js_distance(shares(F.col("classes")), F.col("class_reference")),
         "word_distance": js_distance(shares(F.col("word_counts")), F.col("word_reference")),

@@ -99,6 +99,21 @@ def test_quality(spark, odd_rows):
     assert all(not r.kept for r in out if r.base_failed)
 
 
+def test_quality_without_common_words(spark):
+    """Long texts of ordinary letters without a common word of their language go; clean ones and rare-worded languages stay."""
+    draw = random.Random(8)
+    letters = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    common = [letters() for _ in range(20)]
+    clean = [" ".join(draw.choice(common) if draw.random() < 0.25 else letters() for _ in range(draw.choice((100, 300, 900)))) for _ in range(200)]
+    strange = [" ".join(letters() for _ in range(n)) for n in (100, 400, 4000)]
+    rare = [" ".join(letters() + letters() for _ in range(300)) for _ in range(50)]
+    rows = [(i, t, "xx") for i, t in enumerate(clean)] + [(1000 + i, t, "xx") for i, t in enumerate(strange)]
+    rows += [(2000 + i, t, "yy") for i, t in enumerate(rare)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.kept} == {1000, 1001, 1002}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id(docs, docs.where(~held_out())).join(docs, "doc_id").where(held_out()).collect()
