@@ -101,6 +101,8 @@ class ChunkEncoder:
 
     A byte-level tokenizer without normaliser never joins what stands on both sides of a lone blank between two other
     characters: the blank begins the next token. Such texts are cut there. Texts of any other tokenizer are one chunk.
+    A special token that a text spells out gets its own id, as by the library's default; without a blank it lies in one
+    chunk. Where an added token holds a blank or looks at its neighbours, texts are one chunk too.
     """
 
     BORDER = re.compile(r"(?<=\S)(?=\x20\S)")
@@ -110,13 +112,14 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
         self.cuts = (
             before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
             and not made["normalizer"] and not made["truncation"] and not made["padding"]
-            and all(token["special"] for token in made["added_tokens"])
+            and not any(
+                "\x20" in token["content"] or token["lstrip"] or token["rstrip"] or token["single_word"]
+                for token in made["added_tokens"])
         )
         self.known: dict[str, list[int]] = {}
 

@@ -160,6 +160,28 @@ def test_token_files(spark, odd_rows, tmp_path):
     assert got(read_token_files(spark, str(tmp_path / "ids"))) == want
 
 
+def test_token_files_special(spark, tmp_path):
+    """Ids equal the library's defaults where texts hold a special token, also when an added token holds a blank."""
+    from tokenizers import AddedToken, Tokenizer
+
+    bits = ["a", "b c", " ", "<|endoftext|>", "\n", "<|endof text|>", "two words", "x<|endoftext|>y", "<|endoftext", "|>", "é"]
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice(bits + [" "] * 4) for _ in range(12))) for i in range(300)] + [(400, "a <|endoftext|> b"), (401, "c")]
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    wider = Tokenizer.from_file(file)
+    wider.add_tokens([AddedToken("two words", normalized=False)])
+    wider.save(str(tmp_path / "wider.json"))
+    for path in (file, str(tmp_path / "wider.json")):
+        plain, out = Tokenizer.from_file(path), str(tmp_path / f"ids_{path == file}")
+        write_token_files(made(spark, rows), path, out, block_tokens=500)
+        start, want = 0, Counter()
+        for k, t in rows:
+            ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+            want[(k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+            start += len(ids)
+        assert got(read_token_files(spark, out)) == want
+
+
 def test_grammar():
     draw = np.random.RandomState(1)
     for ids in (np.zeros(0, int), np.array([7]), np.full(1000, 3), draw.randint(0, 5, 3000), np.tile(draw.randint(0, 900, 100), 40)):
