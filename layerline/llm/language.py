@@ -7,6 +7,7 @@ choose the family, and others the language within it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -48,6 +49,11 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, 256)
 
 
+def sizes_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The length of each text in bytes."""
+    return np.diff(text_bytes(batch.column("text"))[1]).astype(np.int64)
+
+
 def train_pair(x: np.ndarray, y: np.ndarray, c: float = 10.0, passes: int = 20) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss by dual coordinate descent; y is 1 or -1."""
     x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float64)
@@ -111,18 +117,69 @@ class Model:
             rows = np.isin(y, members)
             self.within.append(Choice(members, x[rows], np.array([members.index(v) for v in y[rows]])))
 
+        self.means = means
+
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, score, _ = self.judge(x)
+        return out, score
+
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, its score, and the evidence: least probability of a choice, cosine to the language's mean."""
         family, score = self.family(x)
-        out = np.zeros(len(x), int)
+        least, out = score.copy(), np.zeros(len(x), int)
         for k, members in enumerate(self.members):
             rows = np.flatnonzero(family == k)
             if len(rows):
                 best, own = self.within[k](x[rows])
                 out[rows], score[rows] = np.array(members)[best], score[rows] * own
-        return out, score
+                least[rows] = np.minimum(least[rows], own)
+        return out, score, np.c_[least, (x * self.means[out]).sum(1)]
+
 
+class Known:
+    """The least evidence of a text in a learned language, by the length of the text.
+
+    Each fold of the training rows is judged by a model of the others. A limit is the low quantile of the evidence of the
+    quarter of the rows closest in length, at most ``NEAR``, with slack towards chance (a probability of a half, a cosine
+    of zero). Fewer than ``FEWEST`` rows set no limit.
+    """
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most_languages: int) -> Model | None:
+    FOLDS, NEAR, FEWEST, LOW, SLACK = 3, 300, 30, 0.01, np.array([0.5, 0.8])
+    CHANCE = np.array([0.5, 0.0])
+
+    def __init__(self, labels: list[str], x: np.ndarray, y: np.ndarray, size: np.ndarray):
+        found, sizes = [np.zeros((0, 2))], [np.zeros(0)]
+        # Equal texts are in one fold.
+        fold = np.array([zlib.crc32(v.tobytes()) % self.FOLDS for v in x])
+        for k in range(self.FOLDS):
+            rest = fold != k
+            left = np.unique(y[rest])
+            test = ~rest & np.isin(y, left)
+            if test.any():
+                model = Model([labels[i] for i in left], x[rest], np.searchsorted(left, y[rest]))
+                found.append(model.judge(x[test])[2])
+                sizes.append(size[test])
+        found, sizes = np.concatenate(found), np.concatenate(sizes)
+        order = np.argsort(sizes, kind="stable")
+        found, self.sizes = found[order], sizes[order]
+        near = self.near = min(self.NEAR, max(self.FEWEST, len(found) // 4))
+        self.limits = np.zeros((0, 2))
+        if len(found) >= self.FEWEST:
+            self.limits = np.array([
+                np.quantile(found[a : a + near], self.LOW, axis=0) for a in range(len(found) - near + 1)
+            ])
+            self.limits = self.CHANCE + self.SLACK * (self.limits - self.CHANCE)
+
+    def __call__(self, evidence: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(self.limits):
+            return np.ones(len(evidence), bool)
+        middle = np.searchsorted(self.sizes, size) - self.near // 2
+        return (evidence >= self.limits[np.clip(middle, 0, len(self.limits) - 1)]).all(1)
+
+
+def train(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most_languages: int, calibrate: bool = False,
+) -> tuple[Model | None, Known | None]:
     """Fit on at most ``per_language`` labelled rows of each language, chosen by hash and described by whole texts."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).where(
         "label IS NOT NULL AND text RLIKE '\\\\p{L}'"
@@ -132,7 +189,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages: raise most_languages")
     if not sizes:
-        return None
+        return None, None
     # A hash threshold twice as wide as needed leaves a few rows per language for the sort.
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 2 * per_language / n))])
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
@@ -142,51 +199,59 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
         for batch in blocks(batches):
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("id"), batch.column("draw"), pa.array([v.tobytes() for v in x], pa.binary())],
-                names=["label", "id", "draw", "x"],
+                [batch.column("label"), batch.column("id"), batch.column("draw"), pa.array([v.tobytes() for v in x], pa.binary()),
+                 pa.array(sizes_of(batch))],
+                names=["label", "id", "draw", "x", "size"],
             )
 
     from pyspark.sql.window import Window
 
     first = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", "x"))
     rows = (
-        drawn.mapInArrow(vectors, "label string, id long, draw double, x binary")
+        drawn.mapInArrow(vectors, "label string, id long, draw double, x binary, size long")
         .withColumn("place", first).where(F.col("place") <= per_language).orderBy("label", "place").collect()
     )
     labels = sorted({row["label"] for row in rows})
     x = np.array([np.frombuffer(row["x"], np.float32) for row in rows])
-    return Model(labels, x, np.array([labels.index(row["label"]) for row in rows]))
+    y = np.array([labels.index(row["label"]) for row in rows])
+    known = Known(labels, x, y, np.array([row["size"] for row in rows])) if calibrate else None
+    return Model(labels, x, y), known
 
 
-def predictor(model: Model | None):
+def predictor(model: Model | None, known: Known | None, ddl: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow("row long, lang_pred string, score double")
+        schema = to_arrow(ddl)
         for batch in blocks(batches):
             letters = np.array(batch.column("letters").to_pylist(), bool)
-            names, score = np.full(len(batch), "und", object), np.zeros(len(batch))
+            names, score, sure = np.full(len(batch), "und", object), np.zeros(len(batch)), letters.copy()
             if model is not None and letters.any():
-                best, sure = model(features(batch.column("text")))
+                best, found, evidence = model.judge(features(batch.column("text")))
                 names = np.where(letters, np.array(model.labels, object)[best], "und")
-                score = np.where(letters, sure, 0.0)
-            yield record(schema, batch.column("row"), names.tolist(), score)
+                score = np.where(letters, found, 0.0)
+                if known is not None:
+                    sure = letters & known(evidence, sizes_of(batch))
+            columns = [batch.column("row"), names.tolist(), score]
+            yield record(schema, *columns, *[sure & (names != "und")] * (len(schema) - len(columns)))
 
     return emit
 
 
 def language_id(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 300, most_languages: int = 100,
+    per_language: int = 300, most_languages: int = 100, calibrate: bool = False,
 ) -> DataFrame:
-    """``doc_id, lang_pred, score``, one row per row of ``docs``.
+    """``doc_id, lang_pred, score``, one row per row of ``docs``; with ``calibrate`` also ``known``.
 
     The model is fitted on rows of ``training`` with a language and a letter: at most ``per_language`` of each language.
     Texts that are null, empty or without a letter get ``und`` and 0, and so do all when there is nothing to learn from.
-    One learned language is predicted always. More than ``most_languages`` languages are refused.
+    One learned language is predicted always. ``known`` tells texts that are in their predicted language by the evidence that
+    training texts of like length have for theirs; the score alone is high for any text. More than ``most_languages`` languages are refused.
     """
-    model = train(training, id_col, text_col, lang_col, per_language, most_languages)
+    model, known = train(training, id_col, text_col, lang_col, per_language, most_languages, calibrate)
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    return rows.mapInArrow(predictor(model), "row long, lang_pred string, score double").withColumnRenamed("row", "doc_id")
+    ddl = "row long, lang_pred string, score double" + ", known boolean" * calibrate
+    return rows.mapInArrow(predictor(model, known, ddl), ddl).withColumnRenamed("row", "doc_id")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -124,6 +125,20 @@ def test_language(spark):
     assert out[1] == out[2] == out[3] == ("und", 0.0) and out[4][0] == out[None][0] == "en"
 
 
+def test_pipeline_rejects_languages(spark):
+    """The language stage drops unlearned languages and letter noise, and keeps nearly all documents of the corpus."""
+    folder, draw = "/root/testdata/sf0.01", random.Random(4)
+    letters = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    strange = [" ".join(letters() for _ in range(n)) for n in (30, 100, 1000)]
+    strange += [" ".join(draw.choice(["это", "другой", "язык", "никто", "здесь", "учил", "слова"]) for _ in range(200))]
+    strange += ["Tämä on suomenkielinen teksti jota kukaan ei ole opettanut mallille ja sen pitäisi jäädä pois koska kieli on tuntematon"]
+    rows = [(-1 - i, t) for i, t in enumerate(strange)] + [(-100, "123 ..."), (-101, None)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where(held_out())
+    kept = corpus_pipeline.known_language(spark, docs.union(spark.createDataFrame(rows, "doc_id long, text string")), folder)
+    kept = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert min(kept) >= 0 and len(kept) >= 0.97 * docs.count()
+
+
 def test_exact_copies(spark, odd_rows):
     texts = Counter(t or "" for _, t in odd_rows)
     last = {}
