@@ -28,12 +28,25 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of the SHA-256 of the text's UTF-8 bytes."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
+def same_row(id_col: str, text_col: str) -> Column:
+    """Whether a row is the one with ``__kept_id`` and ``__kept_key``, of a table of kept rows."""
+    return F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (text_key(whole_text(text_col)) == F.col("__kept_key"))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k1, k2, text``. k1 is the id, with a null id as the smallest; k2 tells rows that share an id but not a text."""
+    """``k1, k2, text``. k1 is the id, with a null id as the smallest; k2 tells rows that share an id but not a text.
+
+    k2 is 128 bits of the text's SHA-256, as 16 bytes.
+    """
     text = whole_text(text_col)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"),
-        (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("k2"),
+        text_key(text).alias("k2"),
         text.alias("text"),
     )
 

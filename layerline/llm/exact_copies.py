@@ -79,6 +79,10 @@ def exact_copies(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows equal in id and text stay once."""
-    kept = exact_copies(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    stays = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return stays.dropDuplicates([id_col, text_col])
+    normalise, text = options.get("normalise"), whole_text(text_col)
+    hashed = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
+    kept = exact_copies(docs, id_col, text_col, **options).where("kept")
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_key"))
+    stays = docs.withColumn("__text_key", hashed).join(kept, same, "left_semi")
+    return stays.dropDuplicates([id_col, "__text_key"]).drop("__text_key")

@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from layerline.llm.common import id_of, keyed, record, slices, stored, text_bytes, to_arrow
+from layerline.llm.common import id_of, keyed, record, same_row, slices, stored, text_bytes, to_arrow
 from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_spans
 
 MOST = 4 << 20
 CELLS = 1 << 20
-SETS = "k1 long, k2 int, n long, s1 long, s2 long, group long"
-TOKENS = "k1 long, k2 int, n long, token long"
+SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long"
+TOKENS = "k1 long, k2 binary, n long, token long"
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -94,7 +94,7 @@ def prefix_emitter(width: int, percent: int, weight: np.ndarray):
 
 def link_emitter(width: int, percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow("a1 long, a2 int, b1 long, b2 int")
+        schema = to_arrow("a1 long, a2 binary, b1 long, b2 binary")
         last, left = None, None
         for whole in batches:
             for i in range(0, len(whole), 64):
@@ -136,7 +136,16 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_classes(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 8
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id``, one row per row of ``docs``; see ``keyed_classes``."""
+    return keyed_classes(docs, width, percent, id_col, text_col, least_heavy).drop("text_key", "first")
+
+
+def keyed_classes(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 8
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, text_key, first``, one row per row of ``docs``.
+
+    ``first`` tells the row that stands for its class: the least by id, then by text key.
 
     Two texts link when their distinct ``width``-word shingles have a Jaccard similarity of at least ``percent``/100. A text
     with fewer words has its whole sequence as its one shingle. Without words a row is linked with nothing. Rows equal in
@@ -167,7 +176,7 @@ def jaccard_classes(
         flat = pairs.join(right, "b").join(left, "a").select(
             F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"), "text_a", "text_b"
         )
-        found = flat.mapInArrow(link_emitter(width, percent), "a1 long, a2 int, b1 long, b2 int")
+        found = flat.mapInArrow(link_emitter(width, percent), "a1 long, a2 binary, b1 long, b2 binary")
         return found.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
 
     def in_classes(labels: DataFrame) -> DataFrame:
@@ -198,11 +207,14 @@ def jaccard_classes(
     return classed.select(
         id_of().alias("doc_id"), F.col("n").alias("n_shingles"),
         F.nullif(F.when(F.col("n") > 0, F.col("label.k1")).otherwise(F.col("k1")), F.lit(-(1 << 63))).alias("component_id"),
+        F.col("k2").alias("text_key"),
+        F.when(F.col("n") > 0, F.col("label") == F.struct("k1", "k2")).otherwise(True).alias("first"),
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class, with all columns; of equal rows, each stays."""
-    found = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    found = keyed_classes(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.where("first")
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).distinct()
+    return docs.join(kept, same_row(id_col, text_col), "left_semi")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from layerline.llm.common import record, slices, text_bytes, to_arrow, whole_text
+from layerline.llm.common import record, slices, text_bytes, text_key, to_arrow, whole_text
 
 BITS = 11
 DIM = 1 << BITS
@@ -230,8 +230,8 @@ def predictor(model: Model | None, known: Known | None, ddl: str):
                 score = np.where(letters, found, 0.0)
                 if known is not None:
                     sure = letters & known(evidence, sizes_of(batch))
-            columns = [batch.column("row"), names.tolist(), score]
-            yield record(schema, *columns, *[sure & (names != "und")] * (len(schema) - len(columns)))
+            more = [sure & (names != "und"), batch.column("text_key")] if "known" in schema.names else []
+            yield record(schema, batch.column("row"), names.tolist(), score, *more)
 
     return emit
 
@@ -240,7 +240,7 @@ def language_id(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = 300, most_languages: int = 100, calibrate: bool = False,
 ) -> DataFrame:
-    """``doc_id, lang_pred, score``, one row per row of ``docs``; with ``calibrate`` also ``known``.
+    """``doc_id, lang_pred, score``, one row per row of ``docs``; with ``calibrate`` also ``known, text_key``.
 
     The model is fitted on rows of ``training`` with a language and a letter: at most ``per_language`` of each language.
     Texts that are null, empty or without a letter get ``und`` and 0, and so do all when there is nothing to learn from.
@@ -249,8 +249,8 @@ def language_id(
     """
     model, known = train(training, id_col, text_col, lang_col, per_language, most_languages, calibrate)
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    ddl = "row long, lang_pred string, score double" + ", known boolean" * calibrate
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), *[text_key(text).alias("text_key")] * calibrate)
+    ddl = "row long, lang_pred string, score double" + ", known boolean, text_key binary" * calibrate
     return rows.mapInArrow(predictor(model, known, ddl), ddl).withColumnRenamed("row", "doc_id")
 
 

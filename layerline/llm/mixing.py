@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from layerline.llm.common import stored, whole_text
+from layerline.llm.common import stored, text_key, whole_text
 from layerline.llm.quality import let, words_of
 
 BUCKETS = 1024
@@ -61,9 +61,9 @@ def rates(steps: list[list[float]]) -> Column:
 
 def mix_to_targets(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id",
-    text_col: str = "text", steps: int = 12, most_domains: int = 64,
+    text_col: str = "text", steps: int = 12, most_domains: int = 64, with_key: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_tokens, posterior, rate, copies``, one row per row of ``docs``.
+    """``doc_id, n_tokens, posterior, rate, copies``, one row per row of ``docs``; ``with_key`` adds ``text_key``.
 
     ``labelled`` has ``text, domain``; rows with a null domain are left out. ``targets`` gives each domain's weight
     (default: equal); the token total stays that of the input. A rate's whole part gives copies for sure, and its
@@ -75,17 +75,18 @@ def mix_to_targets(
     if len(domains) > most_domains:
         raise ValueError(f"more than {most_domains} domains: raise most_domains")
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    key = ["text_key"] * with_key
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[text_key(text).alias(k) for k in key])
     draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
     if not domains:
         return rows.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"),
-                           F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+                           F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), *key)
     # One row of BUCKETS x domains numbers.
     model = stored(weights(labelled, domains), "mixing_weights")
     scored = stored(
-        rows.withColumn("one", F.lit(1)).join(F.broadcast(model), "one").select("doc_id", draw, let(words_of(F.col("text")), lambda w: F.struct(
+        rows.withColumn("one", F.lit(1)).join(F.broadcast(model), "one").select("doc_id", *key, draw, let(words_of(F.col("text")), lambda w: F.struct(
             F.size(w).cast("long").alias("n_tokens"), posterior(w, F.col("weights"), F.col("prior")).alias("posterior"))).alias("s"))
-        .select("doc_id", "draw", "s.*"),
+        .select("doc_id", *key, "draw", "s.*"),
         "posteriors",
     )
     span = range(len(domains))
@@ -115,4 +116,5 @@ def mix_to_targets(
     return scored.withColumn("rate", rate).select(
         "doc_id", "n_tokens", "posterior", "rate",
         (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"),
+        *key,
     )

@@ -27,7 +27,7 @@ from layerline.llm.common import id_of, keyed, record, slices, stored, text_byte
 from layerline.llm.hashing import BASES, BYTE_VALUES, Windows, mix, sliding_min, word_hashes, word_spans
 
 MOST = 4 << 20
-CELLS = "k1 long, k2 int, start int, n int, anchor long, r1 long, r2 long"
+CELLS = "k1 long, k2 binary, start int, n int, anchor long, r1 long, r2 long"
 OPENED = "w1 long, w2 long, r1 long, r2 long, at int, copies long, first_id long"
 
 

@@ -8,8 +8,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from layerline.llm.exact_copies import exact_copies
-from layerline.llm.jaccard import jaccard_classes
+from layerline.llm.exact_copies import drop_copies, exact_copies
+from layerline.llm.jaccard import jaccard_classes, one_of_each
 from layerline.llm.language import held_out, language_id
 from layerline.llm.mixing import mix_to_targets
 from layerline.llm.pieces import piece_ids
@@ -68,6 +68,62 @@ def test_jaccard(spark, odd_rows):
     assert got(jaccard_classes(made(spark, odd_rows))) == brute.classes(odd_rows)
 
 
+def crc_twins(text, other):
+    """``other`` with a tail of eight characters that gives it the CRC-32 of ``text``."""
+    tail, want = " zzzzzzzz", zlib.crc32(text.encode())
+    base = bytearray((other + tail).encode())
+    bits = [(len(base) - 1 - i, b) for i in range(8) for b in range(5)]
+    rows = []
+    for n, (at, b) in enumerate(bits):
+        flipped = bytearray(base)
+        flipped[at] ^= 1 << b
+        rows.append((zlib.crc32(flipped) ^ zlib.crc32(base), 1 << n))
+    need, picked = zlib.crc32(base) ^ want, 0
+    for bit in reversed(range(32)):
+        pivot = next(r for r in rows if r[0] >> bit & 1)
+        rows = [(v ^ pivot[0], m ^ pivot[1]) if v >> bit & 1 else (v, m) for v, m in rows if (v, m) != pivot]
+        if need >> bit & 1:
+            need, picked = need ^ pivot[0], picked ^ pivot[1]
+    for n, (at, b) in enumerate(bits):
+        if picked >> n & 1:
+            base[at] ^= 1 << b
+    assert zlib.crc32(base) == want and need == 0
+    return base.decode()
+
+
+def test_equal_ids_and_checksums(spark):
+    """Rows that share an id and the CRC-32 of their texts are still rows of their own."""
+    draw = random.Random(9)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, other = prose(60), prose(70)
+    long = prose(80) + " " + passage + " " + prose(30)
+    short = crc_twins(long, prose(5) + " " + other)
+    assert zlib.crc32(long.encode()) == zlib.crc32(short.encode())
+    rows = [(5, long), (5, short), (1, passage + " " + prose(9)), (2, other + " " + prose(40)), (3, long + " x"), (4, short + " y")]
+    assert got(repeated_strings(made(spark, rows))) == brute.strings(rows, 200)
+    assert got(repeated_words(made(spark, rows))) == brute.words(rows, 50)
+    assert got(jaccard_classes(made(spark, rows))) == brute.classes(rows)
+
+
+def test_pipeline_equal_ids(spark):
+    """Stages decide on id and text: of rows with one id, the text that goes does not keep or take the others."""
+    folder, draw = "/root/testdata/sf0.01", random.Random(7)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    good = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en' AND n_chars > 900").orderBy("doc_id").first().text
+    noise, one, two = prose(200), prose(90), prose(90)
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    assert texts(corpus_pipeline.known_language(spark, made(spark, [(None, good), (None, noise)]), folder)) == {(None, good): 1}
+    rows = [(None, one), (None, two), (9, one)]
+    assert texts(drop_copies(made(spark, [(1, one), (1, two), (2, one)]), keep="largest")) == {(1, two): 1, (2, one): 1}
+    assert texts(drop_copies(made(spark, rows))) == {(None, two): 1, (9, one): 1}
+    assert texts(one_of_each(made(spark, [(1, one), (2, two), (2, one + " z")]))) == {(1, one): 1, (2, two): 1}
+    near = texts(one_of_each(made(spark, [(None, one), (None, one + " z"), (None, two)])))
+    assert sum(near.values()) == 2 and near[(None, two)] == 1
+    mixed = [(None, prose(20)) for _ in range(40)]
+    plain = mix_to_targets(made(spark, mixed), corpus_pipeline.labelled_domains(spark, folder), corpus_pipeline.TARGETS, with_key=True)
+    assert corpus_pipeline.mixture(spark, made(spark, mixed), folder).count() == sum(r.copies for r in plain.collect())
+
+
 def documents(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
 
