@@ -88,6 +88,6 @@ def to_arrow(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "short": pa.int16(), "byte": pa.int8(), "string": pa.string(),
         "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
-        "array<int>": pa.list_(pa.int32()),
+        "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
