@@ -27,17 +27,20 @@ def encode(
     return df.select(message_key(key).alias("key"), json_text(*(columns or df.columns)).alias("value"), *keep)
 
 
-def _reason(clean: Column) -> Column:
-    raw = F.col("raw_value")
-    # The raw text is looked at only for broken rows, and parsed again only for corrupt ones.
+def unreadable(raw: Column, corrupt: Column) -> Column:
+    """Why a text did not decode; null for one that did. It is parsed again only where it is corrupt."""
     cause = (
         F.when(F.get_json_object(raw, "$").isNull(), MALFORMED)
         .when(~raw.rlike(r"^\s*\{"), NOT_OBJECT)
         .otherwise(WRONG_TYPE)
     )
     empty = raw.isNull() | ~raw.rlike(r"\S")
-    broken = F.when(empty, EMPTY).when(F.col(_CORRUPT).isNotNull(), cause).otherwise(MISSING)
-    return F.when(~clean, broken)
+    return F.when(empty, EMPTY).when(corrupt.isNotNull(), cause)
+
+
+def _reason(clean: Column) -> Column:
+    # The raw text is looked at only for broken rows.
+    return F.when(~clean, F.coalesce(unreadable(F.col("raw_value"), F.col(_CORRUPT)), F.lit(MISSING)))
 
 
 def decode(messages: DataFrame, schema: StructType = EVENT, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -76,16 +79,31 @@ def rejects(decoded: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame
     return decoded.where(~all_present(required))
 
 
-def delivery_counts(decoded: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Rows per outcome: ``ok`` for valid rows, the reason for the others."""
-    outcome = F.when(all_present(required), "ok").otherwise(F.col("error_reason"))
-    return decoded.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+def outcome(required: Sequence[str] = REQUIRED, repaired_apart: bool = False) -> Column:
+    """``ok`` for valid rows, the reason for the others; ``repaired`` for valid ones that lost a field of the wrong type, if
+    they are to be told apart."""
+    clean = F.col("error_reason").isNull() if repaired_apart else F.lit(True)
+    return F.when(all_present(required), F.when(clean, "ok").otherwise("repaired")).otherwise(F.col("error_reason"))
+
+
+def delivery_counts(decoded: DataFrame, required: Sequence[str] = REQUIRED, repaired_apart: bool = False) -> DataFrame:
+    """Rows per outcome."""
+    return decoded.groupBy(outcome(required, repaired_apart).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def delivery_metrics(required: Sequence[str] = REQUIRED) -> list[Column]:
+    """Counts of all, clean, repaired and failed rows, to be observed while rows pass by."""
+    found = outcome(required, repaired_apart=True)
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(found == "ok").alias("ok"),
+        F.count_if(found == "repaired").alias("repaired"),
+        F.count_if(~all_present(required)).alias("failed"),
+    ]
 
 
 def dead_letters(rejected: DataFrame) -> DataFrame:
-    """Rejects as keyed messages holding the original text and the reason."""
+    """Rejects as messages holding the original text and the reason. A null key stays null, so that the sink deals such
+    letters over all its partitions."""
     body = F.struct(F.col("raw_value").alias("original_event"), "error_reason")
-    return rejected.select(
-        F.coalesce("kafka_key", F.lit("unknown")).alias("key"),
-        F.to_json(body, {"ignoreNullFields": "false"}).alias("value"),
-    )
+    return rejected.select(F.col("kafka_key").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))

@@ -52,7 +52,8 @@ def read_documents(
 ) -> DataFrame:
     """Landed JSON responses, one per line, or one per file with ``multiline``.
 
-    A line that is not JSON counts as a response without documents; ``mode="FAILFAST"`` stops at it.
+    A line that is not JSON counts as a response without documents; ``mode="FAILFAST"`` stops at it, and
+    ``read_landed`` with ``operators.responses`` sets it aside.
     """
     return spark.read.schema(schema).options(multiLine=multiline, **options).json(path)
 
@@ -63,3 +64,26 @@ def stream_documents(spark: SparkSession, path: str, schema: StructType = RESPON
     Files count whatever their modification time: the source's own limit would skip backfilled ones.
     """
     return spark.readStream.schema(schema).options(**{"maxFileAge": ANY_AGE, **options}).json(path)
+
+
+def _landed(reader, path: str, whole_files: bool, options: dict) -> DataFrame:
+    text = reader.options(**options).text(path, wholetext=whole_files)
+    return text.select("value", F.col("_metadata.file_path").alias("source_file"))
+
+
+def read_landed(spark: SparkSession, path: str, whole_files: bool = False, **options: str) -> DataFrame:
+    """Landed responses as they are: ``value`` and ``source_file``, one row per line, or per file with ``whole_files``.
+
+    A folder of lines is split over tasks anywhere; a whole file is one value, so it must fit in memory. An empty file
+    holds no response. ``pathGlobFilter`` tells apart files of both kinds in one folder.
+    """
+    return _landed(spark.read, path, whole_files, options)
+
+
+def stream_landed(spark: SparkSession, path: str, whole_files: bool = False, **options: str) -> DataFrame:
+    """The same as a stream over the files that land in a directory, whatever their age.
+
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch; ``cleanSource="archive"`` with ``sourceArchiveDir``
+    moves files away when the batch after theirs is planned.
+    """
+    return _landed(spark.readStream, path, whole_files, {"maxFileAge": ANY_AGE, **options})

@@ -99,6 +99,21 @@ JSON_VALUE = f"CAST(to_json(struct_pack({', '.join(f'{c.strip()} := {c.strip()}'
 OUTCOMES = f"WITH {M} SELECT outcome, count(*) AS n FROM (SELECT {OUTCOME} FROM m) GROUP BY outcome"
 DECODED = f"WITH {M} SELECT {EVENT}, {META} FROM m"
 
+# Landed responses of five records each, and what becomes of them.
+LANDED = f"""
+r AS (
+  SELECT d.*, kafka_offset // 5 AS sequence,
+    CAST(row_number() OVER (PARTITION BY kafka_offset // 5 ORDER BY kafka_offset) - 1 AS INTEGER) AS position,
+    CASE WHEN (kafka_offset // 5) % 1000 IN (7, 8) THEN 'files' ELSE 'lines' END AS layout,
+    CASE WHEN (kafka_offset // 5) % 1000 = 8 THEN 'malformed_json'
+         WHEN (kafka_offset // 5) % 20 IN (1, 2) THEN 'malformed_json'
+         WHEN (kafka_offset // 5) % 20 = 3 THEN 'wrong_type'
+         WHEN (kafka_offset // 5) % 20 = 4 THEN 'not_an_object'
+         ELSE 'ok' END AS outcome
+  FROM d
+)"""
+BY_RESPONSE = f"WITH {M}, {DOCUMENTS}, {LANDED}"
+
 LINE = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
   l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate"""
 
@@ -144,10 +159,33 @@ ORDER_CHECKS = " UNION ALL ".join([
     _accepted("o_orderstatus", "'O', 'F'", "orders"),
 ])
 
+LETTERS = f"""WITH {M}, sent AS (SELECT *, {JSON_VALUE} AS value, {OUTCOME} FROM m)
+        SELECT kafka_key AS key, outcome AS error_reason,
+          CASE outcome WHEN 'empty_value' THEN NULL
+            WHEN 'malformed_json' THEN left(value, length(value) - 1)
+            WHEN 'not_an_object' THEN '[' || value || ']'
+            WHEN 'wrong_type' THEN replace(value, '"match_id":' || match_id, '"match_id":"' || match_id || '"')
+            ELSE value END AS original_event
+        FROM sent WHERE outcome <> 'ok'"""
+
 ANSWERS = {
     "src_scan": f"SELECT {LINE}, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem",
     "src_documents": DOCUMENT_EVENTS,
     "norm_matches": DOCUMENT_EVENTS,
+    "response_outcomes": f"""{BY_RESPONSE} SELECT layout, outcome, count(DISTINCT sequence) AS responses,
+          CASE WHEN outcome = 'ok' THEN count(*) ELSE 0 END AS documents FROM r GROUP BY layout, outcome""",
+    "document_rejects": f"""{BY_RESPONSE}
+        SELECT DISTINCT layout, CASE WHEN sequence % 20 <> 2 THEN sequence END AS sequence,
+          CAST(NULL AS INTEGER) AS position, outcome AS error_reason, CAST(NULL AS VARCHAR) AS utc_date
+        FROM r WHERE outcome <> 'ok' AND sequence % 20 <> 2
+        UNION ALL
+        SELECT 'lines', NULL, NULL, outcome, NULL FROM r WHERE sequence % 20 = 2 GROUP BY sequence, outcome
+        UNION ALL
+        SELECT layout, sequence, position, 'missing_required', utc_date FROM r
+        WHERE outcome = 'ok' AND match_id IS NULL""",
+    "norm_several": f"""{BY_RESPONSE} SELECT * EXCLUDE (kafka_offset, sequence, position, layout, outcome)
+          REPLACE (CASE WHEN sequence % 20 <> 5 THEN matchday END AS matchday)
+        FROM r WHERE outcome = 'ok' AND match_id IS NOT NULL""",
     "select_matches": f"""WITH {M} SELECT {EVENT} FROM m
         WHERE competition_code IN ('PL', 'CL', 'BL1') AND status = 'SCHEDULED'""",
     "select_live": f"WITH {M} SELECT {EVENT} FROM m WHERE status = 'LIVE'",
@@ -156,14 +194,7 @@ ANSWERS = {
     "msg_encode": f"WITH {M} SELECT kafka_key AS key, {JSON_VALUE} AS value FROM m",
     "msg_decode": DECODED,
     "rejects": OUTCOMES,
-    "dead_letters": f"""WITH {M}, sent AS (SELECT *, {JSON_VALUE} AS value, {OUTCOME} FROM m)
-        SELECT kafka_key AS key, outcome AS error_reason,
-          CASE outcome WHEN 'empty_value' THEN NULL
-            WHEN 'malformed_json' THEN left(value, length(value) - 1)
-            WHEN 'not_an_object' THEN '[' || value || ']'
-            WHEN 'wrong_type' THEN replace(value, '"match_id":' || match_id, '"match_id":"' || match_id || '"')
-            ELSE value END AS original_event
-        FROM sent WHERE outcome <> 'ok'""",
+    "dead_letters": LETTERS,
     "clean_required": f"WITH {M} SELECT * FROM m WHERE event_id IS NOT NULL AND match_id IS NOT NULL",
     "dedup_latest": f"WITH {M}, {SILVER} SELECT * EXCLUDE (match_timestamp, match_date) FROM silver",
     "dedup_lineitem": f"""SELECT {LINE} FROM (
@@ -172,6 +203,7 @@ ANSWERS = {
           l_linestatus DESC) AS _rank FROM lineitem) WHERE _rank = 1""",
     "silver_typed": f"WITH {M}, {SILVER} SELECT * FROM silver",
     "snk_silver": f"WITH {M}, {SILVER} SELECT * FROM silver",
+    "silver_replaced": f"WITH {M}, {SILVER} SELECT * FROM silver",
     "silver_metrics": f"""WITH {M}, {SILVER}, c AS (
           SELECT (SELECT count(*) FROM m) AS rows_read,
             (SELECT count(*) FROM m WHERE event_id IS NOT NULL AND match_id IS NOT NULL) AS rows_clean,
@@ -209,6 +241,22 @@ ANSWERS = {
           COALESCE(CAST(match_id AS VARCHAR), 'unknown') AS key FROM d
         WHERE competition_code IN ('PL', 'CL', 'BL1') AND status = 'SCHEDULED'""",
     "st_rejects": OUTCOMES,
+    "st_delivery": LETTERS,
+    "st_batches": DECODED,
+    "st_counters": f"""WITH {M}, o AS (SELECT kafka_offset, {OUTCOME} FROM m)
+        SELECT CAST(3 AS BIGINT) AS batches, count(*) AS total,
+          count(*) FILTER (WHERE outcome = 'ok' AND kafka_offset % 20 <> 5) AS ok,
+          count(*) FILTER (WHERE outcome = 'ok' AND kafka_offset % 20 = 5) AS repaired,
+          count(*) FILTER (WHERE outcome <> 'ok') AS failed FROM o""",
+    "st_silver": f"WITH {M}, {SILVER} SELECT * FROM silver",
+    "st_documents": f"""{BY_RESPONSE}
+        SELECT CAST(match_id AS VARCHAR) AS key, event_id, 'ok' AS outcome FROM r
+        WHERE layout = 'lines' AND outcome = 'ok' AND match_id IS NOT NULL
+        UNION ALL
+        SELECT NULL, NULL, outcome FROM r WHERE layout = 'lines' AND outcome <> 'ok' GROUP BY sequence, outcome
+        UNION ALL
+        SELECT NULL, NULL, 'missing_required' FROM r WHERE layout = 'lines' AND outcome = 'ok' AND match_id IS NULL""",
+    "bronze_compacted": f"WITH {M} SELECT * FROM m",
     "load_table": f"""WITH {M}, {SILVER} SELECT event_id, match_id, competition_code, matchday, home_team_id,
           home_team_name, away_team_id, away_team_name, score_home, score_away, status, match_timestamp, match_date,
           ingested_at, kafka_partition, kafka_offset FROM silver""",

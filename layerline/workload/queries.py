@@ -8,20 +8,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from layerline.functions import match_result
-from layerline.operators import matches, messages as msg, quality
+from layerline.operators import matches, messages as msg, quality, responses
 from layerline.operators.cleaning import keep_latest, require
 from layerline.operators.roles import role_join
 from layerline.plans import gold, silver
-from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, EVENT, LATEST_FIRST, MESSAGE, REQUIRED, RESPONSE
+from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, EVENT, LATEST_FIRST, MESSAGE, REQUIRED, RESPONSE, SILVER
 from layerline.session import scratch_path
-from layerline.sources.files import read_documents, read_table, stream_documents, write_partitioned
+from layerline.sources import snapshots
+from layerline.sources.files import read_documents, read_landed, read_table, stream_documents, stream_landed, write_partitioned
 from layerline.sources.tables import as_table, as_view, read_relation
+from layerline.streaming.batches import compact, drop_batches, folder_sink, read_batches, start_batches, start_delivery
 from layerline.streaming.bronze import start_append, start_bronze
-from layerline.workload.tables import bronze_events, damaged, match_responses, messages, table
+from layerline.streaming.counters import DeliveryCounters, read_counters
+from layerline.streaming.silver import start_silver
+from layerline.workload.tables import (
+    bronze_events, damaged, land, landed_responses, match_responses, messages, repairable, table
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +82,45 @@ def norm_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.normalize_matches(matches.explode_documents(read_table(spark, path))).drop("ingested_at")
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several matches per response, some damaged, read back from both kinds of files."""
+    root = scratch_path(spark, "landed_responses")
+    land(landed_responses(bronze_events(spark, sf_dir)), root)
+    both = read_landed(spark, f"{root}/lines").withColumn("layout", F.lit("lines")).unionByName(
+        read_landed(spark, f"{root}/files", whole_files=True).withColumn("layout", F.lit("files"))
+    )
+    # The layout is carried as a part of the file's name, as any caller could.
+    return both.select("value", F.concat_ws(" ", "layout", "source_file").alias("source_file"))
+
+
+def _layout() -> Column:
+    return F.substring_index("source_file", " ", 1).alias("layout")
+
+
+@query
+def response_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = responses.decode_responses(_landed(spark, sf_dir))
+    return responses.response_counts(decoded, by=[_layout()])
+
+
+@query
+def document_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = responses.decode_responses(_landed(spark, sf_dir), SEQUENCED_RESPONSE, keep=["sequence"])
+    rejected = responses.document_rejects(responses.unfold_responses(decoded, keep=["sequence"]), keep=["sequence"])
+    # The number of a response that did not decode is read from its text, where that still has it.
+    written = F.regexp_extract("raw_value", r'"sequence"\s*:\s*(\d+)', 1).try_cast("long")
+    return rejected.select(
+        _layout(), F.coalesce("sequence", written).alias("sequence"), "position", "error_reason",
+        F.get_json_object("raw_value", "$.utcDate").alias("utc_date"),
+    )
+
+
+@query
+def norm_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unfolded = responses.unfold_responses(responses.decode_responses(_landed(spark, sf_dir)))
+    return matches.normalize_matches(responses.good_documents(unfolded)).drop("ingested_at")
+
+
 # Selections and counts
 
 
@@ -166,6 +211,13 @@ def silver_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver_counts(bronze, stored)
 
 
+@query
+def silver_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, bronze = scratch_path(spark, "silver_snapshots"), bronze_events(spark, sf_dir)
+    silver.replace_silver(bronze.where("kafka_offset % 2 = 0"), path)
+    return plain(silver.replace_silver(bronze, path))
+
+
 # Gold
 
 
@@ -308,6 +360,91 @@ def st_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msg.delivery_counts(read_table(spark, f"{root}/bronze", BRONZE_WITH_REJECTS))
 
 
+@query
+def st_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_delivery")
+    damaged(messages(bronze_events(spark, sf_dir))).write.parquet(f"{root}/topic")
+    # The second run finds nothing new and sends nothing again.
+    for _ in range(2):
+        stream = _message_stream(spark, f"{root}/topic")
+        start_delivery(stream, f"{root}/bronze", f"{root}/letters", f"{root}/log", None).awaitTermination()
+    letters = read_table(spark, f"{root}/letters")
+    return letters.select(
+        "key",
+        F.get_json_object("value", "$.error_reason").alias("error_reason"),
+        F.get_json_object("value", "$.original_event").alias("original_event"),
+    )
+
+
+def _in_parts(rows: DataFrame, path: str, parts: int, column: str) -> None:
+    """Land rows as one file per remainder of a column, so that each can be a batch of its own."""
+    for part in range(parts):
+        rows.where(F.col(column) % parts == part).coalesce(1).write.mode("append").parquet(path)
+
+
+@query
+def st_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_batches")
+    _in_parts(messages(bronze_events(spark, sf_dir)), f"{root}/topic", 3, "offset")
+    reader = spark.readStream.schema(MESSAGE).options(
+        maxFilesPerTrigger=1, cleanSource="archive", sourceArchiveDir=f"{root}/archive")
+    start_delivery(reader.parquet(f"{root}/topic"), f"{root}/bronze", f"{root}/letters", f"{root}/log", None).awaitTermination()
+    return plain(read_batches(spark, f"{root}/bronze").drop("ingestion_date", "error_reason", "raw_value"))
+
+
+@query
+def st_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_counters")
+    _in_parts(repairable(damaged(messages(bronze_events(spark, sf_dir)))), f"{root}/topic", 3, "offset")
+    counters = DeliveryCounters(spark, f"{root}/counters")
+    spark.streams.addListener(counters)
+    try:
+        reader = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1)
+        run = start_delivery(reader.parquet(f"{root}/topic"), f"{root}/bronze", f"{root}/letters", f"{root}/log", None)
+        run.awaitTermination()
+        counters.wait(run)
+    finally:
+        spark.streams.removeListener(counters)
+    counts = [F.sum(name).alias(name) for name in ("total", "ok", "repaired", "failed")]
+    return read_counters(spark, f"{root}/counters").agg(F.count("*").alias("batches"), *counts)
+
+
+@query
+def st_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_silver")
+    _in_parts(bronze_events(spark, sf_dir), f"{root}/bronze", 3, "kafka_offset")
+    bronze = spark.readStream.schema(BRONZE).option("maxFilesPerTrigger", 1).parquet(f"{root}/bronze")
+    start_silver(bronze, f"{root}/silver", f"{root}/log").awaitTermination()
+    return plain(snapshots.read_snapshot(spark, f"{root}/silver", SILVER))
+
+
+@query
+def st_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "st_documents")
+    land(landed_responses(bronze_events(spark, sf_dir)), f"{root}/landed")
+    decoded = responses.decode_responses(stream_landed(spark, f"{root}/landed/lines"))
+    events = lambda rows: msg.encode(matches.normalize_matches(responses.good_documents(rows)))
+    letters = lambda rows: responses.reject_letters(responses.document_rejects(rows))
+    sinks = [folder_sink(f"{root}/topic", prepare=events), folder_sink(f"{root}/letters", prepare=letters)]
+    start_batches(responses.unfold_responses(decoded), sinks, f"{root}/log").awaitTermination()
+    body = lambda field: F.get_json_object("value", f"$.{field}")
+    sent = read_table(spark, f"{root}/topic").select("key", body("event_id").alias("event_id"), F.lit("ok").alias("outcome"))
+    lost = read_table(spark, f"{root}/letters").select("key", F.lit(None).cast("string"), body("error_reason"))
+    return sent.union(lost)
+
+
+@query
+def bronze_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, bronze = scratch_path(spark, "bronze_compacted"), bronze_events(spark, sf_dir)
+    write = folder_sink(f"{root}/batches", ["ingestion_date"])
+    # Batches of ten days each, the first one twice.
+    for number, days in enumerate(("< 11", "< 11", "BETWEEN 11 AND 20", "> 20")):
+        write(bronze.where(f"day(ingestion_date) {days}"), max(0, number - 1))
+    compact(spark, root, BRONZE)
+    drop_batches(spark, root, 0)
+    return plain(read_batches(spark, root, BRONZE))
+
+
 # Loads and the whole way
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerline.schemas import BRONZE, EVENT, MESSAGE
 from layerline.operators.messages import encode
@@ -64,17 +64,14 @@ def bronze_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(*[columns[name].alias(name) for name in BRONZE.names])
 
 
-def match_responses(bronze: DataFrame) -> DataFrame:
-    """The same records as nested documents: one numbered response per record, holding it alone.
-
-    Beside every 50th lies one without its array, and beside every other 50th one with an empty array.
-    """
+def _document() -> Column:
+    """A record as a nested match document."""
     sides = {
         side: F.struct(F.col(f"{side}_team_id").alias("id"), F.col(f"{side}_team_name").alias("name"))
         for side in ("home", "away")
     }
     full_time = F.struct(F.col("score_home").alias("home"), F.col("score_away").alias("away"))
-    document = F.struct(
+    return F.struct(
         F.col("match_id").alias("id"),
         F.substring_index("event_id", "-", -3).alias("lastUpdated"),
         F.col("utc_date").alias("utcDate"),
@@ -85,6 +82,14 @@ def match_responses(bronze: DataFrame) -> DataFrame:
         sides["away"].alias("awayTeam"),
         F.struct(full_time.alias("fullTime")).alias("score"),
     )
+
+
+def match_responses(bronze: DataFrame) -> DataFrame:
+    """The same records as nested documents: one numbered response per record, holding it alone.
+
+    Beside every 50th lies one without its array, and beside every other 50th one with an empty array.
+    """
+    document = _document()
     place = F.col("kafka_offset") % 50
     full = F.array(document)
     extra = F.when(place == 1, F.slice(full, 1, 0))
@@ -116,3 +121,44 @@ def damaged(sent: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     return sent.withColumn("value", broken.cast("binary"))
+
+
+def repairable(sent: DataFrame) -> DataFrame:
+    """The messages with a twentieth of the match days written as text."""
+    text = F.col("value").cast("string")
+    changed = F.when(F.col("offset") % 20 == 5, F.regexp_replace(text, r'"matchday":(\d+)', '"matchday":"day $1"')).otherwise(text)
+    return sent.withColumn("value", changed.cast("binary"))
+
+
+# Responses per thousand that are landed as files of their own, written over several lines.
+WHOLE, WHOLE_CUT = 7, 8
+
+
+def landed_responses(bronze: DataFrame, per: int = 5) -> DataFrame:
+    """``sequence, layout, value``: numbered responses of up to ``per`` records each, a fourth of them damaged.
+
+    ``layout`` is ``files`` for those that are to be landed one per file, ``lines`` for the others.
+    """
+    numbered = bronze.select(F.floor(F.col("kafka_offset") / per).alias("sequence"), F.struct("kafka_offset", _document().alias("d")).alias("r"))
+    held = numbered.groupBy("sequence").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"]).alias("matches"))
+    envelope = F.struct("sequence", "matches")
+    text, pretty = F.to_json(envelope), F.to_json(envelope, {"pretty": "true"})
+    place, rare = F.col("sequence") % 20, F.col("sequence") % 1000
+    value = (
+        F.when(rare == WHOLE, pretty)
+        .when(rare == WHOLE_CUT, F.substr(pretty, F.lit(1), F.length(pretty) - 3))
+        .when(place == 1, F.substr(text, F.lit(1), F.length(text) - 2))
+        .when(place == 2, F.lit("<html><body>Too Many Requests</body></html>"))
+        .when(place == 3, F.to_json(F.struct("sequence", F.lit("none").alias("matches"))))
+        .when(place == 4, F.concat(F.lit("["), text, F.lit("]")))
+        .when(place == 5, F.regexp_replace(text, r'"matchday":(\d+)', '"matchday":"day $1"'))
+        .otherwise(text)
+    )
+    layout = F.when(rare.isin(WHOLE, WHOLE_CUT), "files").otherwise("lines")
+    return held.select("sequence", layout.alias("layout"), value.alias("value"))
+
+
+def land(responses: DataFrame, root: str) -> None:
+    """Write responses as line files below ``lines`` and as one file each below ``files``."""
+    responses.where("layout = 'lines'").select("value").write.text(f"{root}/lines")
+    responses.where("layout = 'files'").select("sequence", "value").write.partitionBy("sequence").text(f"{root}/files")
