@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from layerline.session import scratch_path
+
 
 def unique(df: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once, with their count; nulls are ignored."""
@@ -15,6 +17,22 @@ def unique(df: DataFrame, column: str) -> DataFrame:
     return counted.where("n > 1")
 
 
+def unique_by_hash(df: DataFrame, column: str) -> DataFrame:
+    """The result of ``unique`` for long values that seldom repeat: whole values are not shuffled unless they may repeat.
+
+    Counted first are 64-bit hashes. Those that occur twice or more, by repeated values or by chance, are stored, so their
+    size is known: below ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast, and only the values under them are
+    grouped. The input is read twice.
+    """
+    spark = df.sparkSession
+    values = df.where(F.col(column).isNotNull()).select(column)
+    place = scratch_path(spark, "repeated_hashes")
+    counted = values.groupBy(F.xxhash64(column).alias("_hash")).agg(F.count("*").alias("n"))
+    counted.where("n > 1").select("_hash").write.parquet(place)
+    repeated = spark.read.schema("_hash long").parquet(place)
+    return unique(values.join(repeated, F.xxhash64(column) == F.col("_hash"), "left_semi"), column)
+
+
 def not_null(df: DataFrame, column: str) -> DataFrame:
     """Rows in which the column is null."""
     return df.where(F.col(column).isNull())
@@ -27,11 +45,12 @@ def accepted_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFr
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind`` is ``unique``, ``not_null`` or ``accepted_values``."""
+    """``kind`` is ``unique``, ``not_null`` or ``accepted_values``; ``by_hash`` tests a ``unique`` rule in two phases."""
 
     kind: str
     column: str
     values: tuple = ()
+    by_hash: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in ("unique", "not_null", "accepted_values"):
@@ -43,7 +62,7 @@ class Rule:
 
     def failing(self, df: DataFrame) -> DataFrame:
         if self.kind == "unique":
-            return unique(df, self.column)
+            return (unique_by_hash if self.by_hash else unique)(df, self.column)
         if self.kind == "not_null":
             return not_null(df, self.column)
         return accepted_values(df, self.column, self.values)
@@ -88,7 +107,7 @@ def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for rule in rules:
         if rule.kind == "unique":
             parts.append(
-                unique(df, rule.column).agg(
+                rule.failing(df).agg(
                     F.count("*").alias("failures"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_affected")
                 ).select(F.lit(rule.name).alias("rule"), "failures", "rows_affected")
             )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def role_dimension(df: DataFrame, roles: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
@@ -42,3 +42,15 @@ def role_join(
         )
         joined = joined.join(side, F.col(fact_key) == F.col(role_key), "left").drop(role_key)
     return joined
+
+
+def hot_values(df: DataFrame, column: str, buckets: int, times: int = 4) -> list:
+    """Values that hold more than ``times`` the rows of an even bucket: at most ``buckets / times`` of them."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    limit = times * df.count() / buckets
+    return [row[0] for row in counted.where(F.col("n") > limit).select(column).collect()]
+
+
+def is_hot(column: str, values: Sequence) -> Column:
+    """Rows that no bucket should hold: those of hot values, and nulls, which match nothing."""
+    return F.col(column).isNull() | F.col(column).isin(list(values)) if values else F.col(column).isNull()

@@ -142,6 +142,7 @@ def _accepted(column: str, values: str, source: str) -> str:
     )
 
 
+# The accepted codes.
 COMPETITIONS = "'PL', 'CL', 'BL1', 'SA', 'PD', 'FL1'"
 STATUSES = "'SCHEDULED', 'LIVE', 'IN_PLAY', 'PAUSED', 'FINISHED', 'POSTPONED', 'CANCELLED'"
 MATCH_CHECKS = " UNION ALL ".join([
@@ -215,6 +216,7 @@ ANSWERS = {
           ingested_at, kafka_partition, kafka_offset FROM silver""",
     "gold_dim": f"WITH {M}, {SILVER}, {DIM} SELECT team_id, team_name FROM dim ORDER BY team_name NULLS LAST",
     "gold_fct": f"WITH {M}, {SILVER}, {DIM} {_fact(', s.ingested_at')}",
+    "gold_fct_buckets": f"WITH {M}, {SILVER}, {DIM} {_fact(', s.ingested_at')}",
     "case_result": f"WITH {M} SELECT kafka_offset, score_home, score_away, {RESULT} FROM m",
     "role_join_nation": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, o_custkey AS custkey,
           c_nationkey AS buyer_key, s_nationkey AS seller_key, b.n_name AS buyer_nation, v.n_name AS seller_nation

@@ -6,6 +6,7 @@ Stored layers go below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,7 +21,7 @@ from layerline.schemas import BRONZE, BRONZE_WITH_REJECTS, EVENT, LATEST_FIRST,
 from layerline.session import scratch_path
 from layerline.sources import snapshots
 from layerline.sources.files import read_documents, read_landed, read_table, stream_documents, stream_landed, write_partitioned
-from layerline.sources.tables import as_table, as_view, read_relation
+from layerline.sources.tables import as_table, as_view, publish_table, read_relation
 from layerline.streaming.batches import compact, drop_batches, folder_sink, read_batches, start_batches, start_delivery
 from layerline.streaming.bronze import start_append, start_bronze
 from layerline.streaming.counters import DeliveryCounters, read_counters
@@ -57,6 +58,11 @@ def _stored_teams(stg: DataFrame) -> DataFrame:
     return read_table(stg.sparkSession, path)
 
 
+def _own_schema(label: str) -> str:
+    """A schema name of this call alone: the calls of one session do not replace each other's tables."""
+    return f"layerline_{label}_{uuid.uuid4().hex[:12]}"
+
+
 # Scans and landed documents
 
 
@@ -238,6 +244,14 @@ def gold_fct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(gold.fct_match_events(stg, _stored_teams(stg)))
 
 
+@query
+def gold_fct_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stg = gold.staging(_stored_silver(spark, sf_dir))
+    schema, path = _own_schema("gold"), scratch_path(spark, "gold")
+    fact = gold.bucketed_fact(stg, _stored_teams(stg), schema, path, buckets=8)
+    return plain(publish_table(fact, f"{schema}.fct_match_events", f"{path}/fct_match_events", by="match_date"))
+
+
 @query
 def case_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = match_result("score_home", "score_away").alias("result")
@@ -269,7 +283,7 @@ def role_join_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unique(bronze_events(spark, sf_dir), "event_id")
+    return quality.unique_by_hash(bronze_events(spark, sf_dir), "event_id")
 
 
 @query
@@ -450,8 +464,9 @@ def bronze_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = "layerline_raw.match_events"
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS layerline_raw LOCATION '{scratch_path(spark, 'schema')}'")
+    schema = _own_schema("raw")
+    name = f"{schema}.match_events"
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{scratch_path(spark, 'schema')}'")
     as_table(silver.to_silver(bronze_events(spark, sf_dir)), name, scratch_path(spark, "load"))
     return plain(gold.staging(read_relation(spark, name)))
 

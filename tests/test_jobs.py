@@ -86,3 +86,69 @@ def test_arguments():
     assert (args.table, args.writers, args.driver) == ("raw.match_events", 4, None)
     with pytest.raises(SystemExit):
         parse(["silver"])
+
+
+def as_topic(spark, monkeypatch, folder, seen=None):
+    """Files stand in for the topic; options that only a broker takes are noted."""
+    from layerline.schemas import MESSAGE
+
+    def stream(session, servers, topic, **options):
+        if seen is not None:
+            seen.update(options)
+        return session.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    monkeypatch.setattr(jobs.kafka, "stream_topic", stream)
+
+
+def test_bronze_letters_compaction_and_silver(spark, tmp_path, monkeypatch, capsys):
+    sent = damaged(messages(bronze_events(spark, "/root/testdata/sf0.001")))
+    root, seen, published = str(tmp_path), {}, []
+    as_topic(spark, monkeypatch, f"{root}/topic", seen)
+    monkeypatch.setattr(jobs.kafka, "publish", lambda rows, *target, **options: published.append((rows.collect(), target, options)))
+    land = ["bronze", "--servers", "h", "--topic", "t", "--bronze", f"{root}/bronze", "--checkpoint", f"{root}/log", "--once",
+            "--max-offsets", "1000", "--min-partitions", "64", "--counters", f"{root}/counts",
+            "--option", "kafka.security.protocol=SASL_SSL", "failOnDataLoss=true"]
+    letters = ["publish-letters", "--letters", f"{root}/bronze_letters", "--servers", "h", "--topic", "d", "--checkpoint", f"{root}/sent",
+               "--once", "--option", "acks=all"]
+    merge = ["silver", "--bronze", f"{root}/bronze", "--silver", f"{root}/silver", "--checkpoint", f"{root}/merged", "--once",
+             "--max-files", "2"]
+    expected = 0
+    for part in (0, 1):
+        sent.where(F.col("offset") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/topic")
+        assert jobs.main(land) == jobs.main(letters) == jobs.main(merge) == 0
+        expected += rejects(bronze_rows(sent.where(F.col("offset") % 2 == part))).count()
+        assert sum(len(rows) for rows, _, _ in published) == expected > 0
+    assert seen == {"maxOffsetsPerTrigger": "1000", "minPartitions": "64", "kafka.security.protocol": "SASL_SSL", "failOnDataLoss": "true"}
+    assert {target for _, target, _ in published} == {("h", "d")} and published[0][2] == {"acks": "all"}
+    assert jobs.main(letters) == 0 and sum(len(rows) for rows, _, _ in published) == expected
+    assert jobs.main(["publish-rejects", "--bronze", f"{root}/bronze", "--servers", "h", "--topic", "all"]) == 0
+    assert len(published[-1][0]) == expected
+    assert jobs.main(["compact", "--bronze", f"{root}/bronze"]) == 0
+
+    whole = to_silver(bronze_rows(sent)).count()
+    assert jobs.main(["check", "--silver", f"{root}/silver"]) == 1
+    assert "unique_team_id 1 failures in 2 rows" in capsys.readouterr().out
+    assert jobs.snapshots.read_snapshot(spark, f"{root}/silver", jobs.SILVER).count() == whole
+    assert jobs.main(["silver", "--bronze", f"{root}/bronze", "--silver", f"{root}/whole"]) == 0
+    assert jobs.snapshots.read_snapshot(spark, f"{root}/whole", jobs.SILVER).count() == whole
+    for extra in ([], ["--buckets", "4"]):
+        assert jobs.main(["gold", "--silver", f"{root}/silver", "--schema", "jobs_gold", "--path", f"{root}/gold", *extra]) == 0
+        assert spark.table("jobs_gold.fct_match_events").columns == list(FACT_COLUMNS)
+        assert spark.table("jobs_gold.fct_match_events").count() >= whole
+
+
+def test_ingest_publishes_matches_and_sets_the_rest_aside(spark, tmp_path, monkeypatch):
+    root, published = tmp_path, []
+    monkeypatch.setattr(jobs.kafka, "publish", lambda rows, *target, **options: published.extend(rows.collect()))
+    (root / "landed").mkdir()
+    match = '{"id":%d,"status":"%s","competition":{"code":"%s"}}'
+    (root / "landed" / "a.json").write_text('{"matches":[' + match % (1, "SCHEDULED", "PL") + "," + match % (2, "LIVE", "PL") + "]}\n<html>\n")
+    (root / "landed" / "b.json").write_text('{"matches":[' + match % (3, "SCHEDULED", "CL") + "," + match % (4, "SCHEDULED", "SA") + ',{}]}\n')
+    ingest = ["ingest", "--landed", f"{root}/landed", "--servers", "h", "--topic", "t", "--checkpoint", f"{root}/log", "--once",
+              "--max-files", "1", "--archive", f"{root}/archive"]
+    for _ in range(2):
+        assert jobs.main(ingest) == 0
+    assert sorted(row.key for row in published) == ["1", "3"]
+    letters = spark.read.parquet(f"{root}/log_letters")
+    reasons = [r[0] for r in letters.select(F.get_json_object("value", "$.error_reason")).collect()]
+    assert sorted(reasons) == ["malformed_json", "missing_required"]

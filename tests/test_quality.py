@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from layerline.operators import quality
 from layerline.plans.gold import DIMENSION_RULES, SILVER_RULES
@@ -64,3 +65,28 @@ def test_rules_that_share_a_name_are_refused(spark):
     rules = [quality.Rule("accepted_values", "a", (1,)), quality.Rule("accepted_values", "a", (2,))]
     with pytest.raises(ValueError):
         quality.run_checks(spark.createDataFrame([(1,)], "a int"), rules)
+
+
+def test_unique_by_hash_gives_the_same(spark):
+    from layerline.operators.quality import unique_by_hash
+
+    values = spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("a long common beginning "), (F.col("id") % 2500).cast("string"))).alias("k"), "id")
+    plain = {(r.k, r.n) for r in quality.unique(values, "k").collect()}
+    assert {(r.k, r.n) for r in unique_by_hash(values, "k").collect()} == plain
+    assert ("hot", 980) in plain and len(plain) > 100
+    assert unique_by_hash(values.where("id < 2"), "k").count() == 0
+    assert unique_by_hash(values.where("k IS NULL"), "k").count() == 0
+    rules = [quality.Rule("unique", "k", by_hash=True), quality.Rule("unique", "id", by_hash=True)]
+    same = [quality.Rule("unique", "k"), quality.Rule("unique", "id")]
+    assert sorted(map(str, quality.run_checks(values, rules).collect())) == sorted(map(str, quality.run_checks(values, same).collect()))
+
+
+def test_unique_by_hash_shuffles_hashes_and_few_values(spark):
+    from layerline.operators.quality import unique_by_hash
+
+    values = spark.range(0, 1000, 1, 4).select(F.concat(F.lit("k"), F.col("id") % 990).alias("k"))
+    text = unique_by_hash(values, "k")._jdf.queryExecution().executedPlan().toString()
+    # The values are joined where they are read; only those under a repeated hash reach the shuffle.
+    assert "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") == 1
