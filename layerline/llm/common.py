@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerline.session import scratch_path
+from layerline.sources.paths import remove
 
 NO_ID = -(1 << 63)
 #: ASCII white space as a Java and RE2 character class; words are the runs between it.
@@ -20,7 +21,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared scratch folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)
+
+
+def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Rows with the facts of their key; ``facts`` has one row per key, and in ``n`` how many rows have it.
+
+    Keys of more than a thousandth of all rows are hot. There are fewer than a thousand, so their facts are broadcast and no
+    task gathers their rows; the others are joined by key.
+    """
+    hot = facts.where(F.col(n) > max(1000, total // 1000)).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    names = [name for name in marked.columns if name != "_hot"]
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(facts, keys, "left")
+    return marked.where("_hot").select(*names).unionByName(rest.select(*names))
 
 
 def whole_text(name: str = "text") -> Column:

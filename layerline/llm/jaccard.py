@@ -1,13 +1,16 @@
 """N-gram Jaccard join by a token-group matrix, down to connected classes.
 
-Texts with one set of shingles are one node. A node's prefix holds its rarest shingles, as many as two linked sets cannot
-both miss. Nodes are partitioned into groups by their least shingle hash, which similar sets share.
-
-1. Each node is compared with the first of its group; the links give classes.
-2. The matrix holds, for each class, the union of its members' prefix tokens. A token that one class alone holds opens
-   nothing: its members are connected already. Where a token is in several classes, their first members are compared and
-   classes merge.
-3. What still shares a token across classes, with sizes that allow a link, is compared in full, pair by pair.
+Texts with one set of shingles are one node. A node is queried by its prefix: its rarest shingles, as many as two linked
+sets cannot both miss, and some more, of which linked sets then share several.
+
+1. Nodes are partitioned into groups by their least shingle hash, which similar sets share. Each node is compared with the
+   first of its group; the links give classes, the groups of the matrix.
+2. The matrix holds for each token the classes whose union of prefixes has it. Tokens that one class alone holds are
+   dropped at once: its members are connected already.
+3. For each node and each other class the tokens of its prefix in the class's union are counted. The count bounds the
+   overlap with every member, so a class below the least count is not opened.
+4. Of an opened class, first the first member that shares a token is compared, and classes merge. Then the members are
+   compared whose own prefixes share enough with the node's and that still are in another class.
 
 Every pair of nodes that may link is compared or already connected, so no class is split. Sets are sets of 64-bit hashes.
 """
@@ -18,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from layerline.llm.common import id_of, keyed, record, same_row, slices, stored, text_bytes, to_arrow
+from layerline.llm.common import by_key, discard, id_of, keyed, record, same_row, slices, stored, text_bytes, to_arrow
+from layerline.llm.graph import components
 from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_spans
 
 MOST = 4 << 20
 CELLS = 1 << 20
-SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long"
-TOKENS = "k1 long, k2 binary, n long, token long"
+#: One more token of the prefix, and of those that linked sets share in it, for so many shingles.
+MORE = 32
+#: Texts that one task compares with another.
+PARTNERS = 512
+SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>"
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -46,102 +53,80 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def sets_emitter(width: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow(SETS)
-        for batch in slices(batches, MOST):
-            sets = shingle_sets(batch.column("text"), width)
-            with np.errstate(over="ignore"):
-                s1 = [int(mix(s ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                s2 = [int(mix(s ^ np.uint64(2)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            group = [int(s[0].view(np.int64)) if len(s) else 0 for s in sets]
-            yield record(schema, batch.column("k1"), batch.column("k2"), [len(s) for s in sets], s1, s2, group)
-
-    return emit
+def least_shared(n: str | Column, percent: int) -> Column:
+    """Prefix tokens that a set of n shingles shares with any linked one, which has at least ``percent`` of n."""
+    n = F.col(n) if isinstance(n, str) else n
+    return 1 + F.floor(F.ceil(n * percent / 100) / MORE)
 
 
-def heavy_emitter(width: int, least: int):
-    """Cells of a counting sketch that a task meets often. They only order tokens: any order gives the same links."""
+def cell_emitter(width: int):
+    """Counters of shingles by hash. They only order the shingles by rarity: any order gives the same links."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in slices(batches, MOST):
-            for s in shingle_sets(batch.column("text"), width):
-                np.add.at(counts, (s % np.uint64(CELLS)).astype(np.int64), 1)
-        often = np.flatnonzero(counts >= least)
+            every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column("text"), width)])
+            counts += np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        # Cells that stand out in this task; the others are about as rare as most.
+        often = np.flatnonzero(counts > 4 * max(1.0, counts.mean()))
         yield record(to_arrow("cell int, n long"), often.astype(np.int32), counts[often])
 
     return emit
 
 
-def prefix_emitter(width: int, percent: int, weight: np.ndarray):
+def sets_emitter(width: int, percent: int, weight: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow(TOKENS)
+        schema = to_arrow(SETS)
         for batch in slices(batches, MOST):
             sets = shingle_sets(batch.column("text"), width)
+            with np.errstate(over="ignore"):
+                s1 = [int(mix(s ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                s2 = [int(mix(s ^ np.uint64(2)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            group = [int(s[0].view(np.int64)) if len(s) else 0 for s in sets]
             chosen = []
             for s in sets:
-                order = np.lexsort((s, weight[(s % np.uint64(CELLS)).astype(np.int64)]))
-                chosen.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
-            sizes = np.array([len(c) for c in chosen])
-            doc = pa.array(np.repeat(np.arange(len(batch)), sizes))
-            n = np.repeat(np.array([len(s) for s in sets]), sizes)
-            tokens = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.uint64)
-            yield record(schema, batch.column("k1").take(doc), batch.column("k2").take(doc), n, tokens.view(np.int64))
+                order = np.argsort(weight[(s % np.uint64(CELLS)).astype(np.int64)], kind="stable")
+                chosen.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1 + len(s) // MORE]].view(np.int64))
+            ends = np.cumsum([0, *map(len, chosen)])
+            flat = np.concatenate([np.zeros(0, np.int64), *chosen])
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield record(schema, batch.column("k1"), batch.column("k2"), [len(s) for s in sets], s1, s2, group, prefix)
 
     return emit
 
 
 def link_emitter(width: int, percent: int):
+    """Linked nodes, from rows sorted so that each group's own text comes before those it is compared with."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow("a1 long, a2 binary, b1 long, b2 binary")
-        last, left = None, None
+        schema, now, own = to_arrow("a long, b long"), None, None
         for whole in batches:
-            for i in range(0, len(whole), 64):
-                batch = whole.slice(i, 64)
-                rights = shingle_sets(batch.column("text_b"), width)
-                stays = []
-                for text, right in zip(batch.column("text_a"), rights):
-                    text = text.as_py()
-                    if text != last:
-                        last, left = text, shingle_sets(pa.array([text]), width)[0]
-                    common = len(np.intersect1d(left, right, assume_unique=True))
-                    stays.append(100 * common >= percent * (len(left) + len(right) - common))
-                kept = batch.filter(pa.array(stays, pa.bool_()))
-                yield record(schema, *[kept.column(c) for c in ("a1", "a2", "b1", "b2")])
+            for batch in slices([whole], MOST):
+                sets = shingle_sets(batch.column("text"), width)
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                linked = []
+                for x, y, part, s in zip(a, b, batch.column("part").to_pylist(), sets):
+                    if (x, part) != now:
+                        now, own = (x, part), s
+                    if x != y:
+                        at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                        common = int((own[at] == s).sum())
+                        if 100 * common >= percent * (len(own) + len(s) - common):
+                            linked.append((x, y))
+                yield record(schema, [x for x, _ in linked], [y for _, y in linked])
 
     return emit
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that each linked node reaches. Each round is a written table."""
-    both = stored(
-        links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links"
-    )
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
-        following = stored(
-            lower.join(jump, "low", "left").select(
-                "node", F.least("low", F.coalesce("beyond", "low")).alias("label"), F.col("label").alias("was")),
-            "labels",
-        )
-        labels = following.select("node", "label")
-        if following.where("label != was").isEmpty():
-            return labels
-
-
 def jaccard_classes(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 8
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``; see ``keyed_classes``."""
-    return keyed_classes(docs, width, percent, id_col, text_col, least_heavy).drop("text_key", "first")
+    return keyed_classes(docs, width, percent, id_col, text_col).drop("text_key", "first")
 
 
 def keyed_classes(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 8
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_key, first``, one row per row of ``docs``.
 
@@ -150,65 +135,92 @@ def keyed_classes(
     Two texts link when their distinct ``width``-word shingles have a Jaccard similarity of at least ``percent``/100. A text
     with fewer words has its whole sequence as its one shingle. Without words a row is linked with nothing. Rows equal in
     id are nodes of their own and share the component with the smaller one only by links. A null id is the smallest.
+    Equal rows are one node; long texts are whole in the memory of one task; other columns are not read.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be between 1 and 100")
     rows = keyed(docs, id_col, text_col)
-    sets = stored(rows.mapInArrow(sets_emitter(width), SETS), "shingle_sets")
-    key = F.struct("k1", "k2")
-    nodes = stored(sets.where("n > 0").groupBy("s1", "s2", "n", "group").agg(F.min(key).alias("node")), "set_nodes")
-    only = nodes.select("node.*")
-    texts = stored(
-        rows.join(only, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")), "set_texts"
-    )
-    heavy = texts.mapInArrow(heavy_emitter(width, least_heavy), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     weight = np.zeros(CELLS, np.int64)
     # At most CELLS pairs of numbers.
-    for cell, n in heavy.collect():
-        weight[cell] = n
-    prefix = stored(
-        texts.mapInArrow(prefix_emitter(width, percent, weight), TOKENS).select(key.alias("node"), "n", "token"), "prefix_tokens"
+    heavy = rows.mapInArrow(cell_emitter(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    weight[heavy.column("cell").to_numpy()] = heavy.column("n").to_numpy()
+    sets = stored(rows.mapInArrow(sets_emitter(width, percent, weight), SETS), "shingle_sets")
+    total = sets.count()
+    distinct = sets.where("n > 0").groupBy("s1", "s2", "n", "group").agg(F.min(F.struct("k1", "k2")).alias("r"), F.count("*").alias("copies"))
+    # Numbered in the order of ids, so that the smallest number of a class is that of its smallest id.
+    nodes = stored(
+        distinct.select("r.k1", "r.k2", "s1", "s2", "n", "group", "copies").orderBy("k1", "k2")
+        .withColumn("node", F.monotonically_increasing_id()),
+        "set_nodes",
     )
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.struct("k1", "k2").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.struct("k1", "k2").alias("b"), F.col("text").alias("text_b"))
-        flat = pairs.join(right, "b").join(left, "a").select(
-            F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"), "text_a", "text_b"
-        )
-        found = flat.mapInArrow(link_emitter(width, percent), "a1 long, a2 binary, b1 long, b2 binary")
-        return found.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
-
-    def in_classes(labels: DataFrame) -> DataFrame:
-        """Prefix tokens that several classes hold, with the class of each node."""
-        known = prefix.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-        return known.join(mixed, "token", "left_semi")
-
-    sizes = F.expr(f"100 * least(n, n_a) >= {int(percent)} * greatest(n, n_a)")
-    centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n")).alias("centre")).select("group", F.col("centre.node").alias("a"), F.col("centre.n").alias("n_a"))
-    first = nodes.join(centres, "group").where(sizes).where("a != node").select("a", F.col("node").alias("b"))
-    links = stored(linked(first), "links_of_groups")
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        """Those of the pairs ``a, b`` that link; a text that meets many is dealt over several tasks."""
+        pairs = stored(pairs, f"pairs_{label}")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(ends, "node").select("k1", "k2", "node")
+        texts = rows.join(wanted, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        own = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        sent = own.union(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int")))
+        dealt = sent.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "text")
+        dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+        found = stored(dealt.mapInArrow(link_emitter(width, percent), "a long, b long"), f"links_{label}")
+        discard(pairs)
+        return found
+
+    def sized(n: str, m: str) -> Column:
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+    centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n")).alias("c"))
+    first = nodes.join(centres, "group").where(sized("n", "c.n") & (F.col("node") != F.col("c.node")))
+    links = linked(first.select(F.col("c.node").alias("a"), F.col("node").alias("b")), "groups")
     labels = components(links)
-    open_tokens = in_classes(labels)
-    firsts = open_tokens.groupBy("token").agg(F.min(F.struct("label", "node", "n")).alias("c"))
-    second = (
-        open_tokens.join(firsts, "token").withColumn("n_a", F.col("c.n")).where(sizes).where("label != c.label")
-        .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+
+    stands = nodes.select("k1", "k2", "s1", "s2", "node").join(labels, "node", "left")
+    held = sets.join(stands.select("k1", "k2", "s1", "s2", "node", F.coalesce("label", "node").alias("label")), ["k1", "k2", "s1", "s2"])
+    if held.count() > nodes.count():
+        # Rows that are equal in id and text.
+        held = held.dropDuplicates(["node"])
+    by_token = held.select(F.explode("prefix").alias("token"), "node", "label").repartition("token")
+    mixed = by_token.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
+    sizes = nodes.select("node", "n")
+    tokens = stored(by_token.join(mixed, "token", "left_semi").select("token", "node", "label").distinct().join(sizes, "node"), "matrix")
+
+    # Class unions against prefixes: classes that hold enough of a node's tokens, and may hold a member of its size.
+    unions = tokens.groupBy("token", "label").agg(F.min(F.struct("node", "n")).alias("f"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    of_class = unions.select("token", F.col("label").alias("other"), F.col("f.node").alias("at"), "least_n", "most_n")
+    met = tokens.join(of_class, "token").where("label != other").groupBy("node", "n", "label", "other").agg(
+        F.count("*").alias("shared"), F.min("at").alias("at"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
+    enough = F.col("shared") >= least_shared("n", percent)
+    fits = (100 * F.col("most_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least_n"))
+    opened = stored(met.where(enough & fits).select("node", "label", "other", "at"), "opened")
+    more = linked(opened.select(F.least("node", "at").alias("a"), F.greatest("node", "at").alias("b")).distinct(), "classes")
+    links = links.union(more)
+    merged = components(links)
+
+    now = merged.select(F.col("node"), F.col("label").alias("now"))
+    still = opened.join(now, "node", "left").select("node", "other", F.coalesce("now", "node").alias("now"))
+    one = tokens.join(still, "node").select("token", "node", "n", "other", "now")
+    two = tokens.join(now, "node", "left").select(
+        "token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("other"), F.coalesce("now", "node").alias("its"))
+    close = one.join(two, ["token", "other"]).where("now != its").where(sized("n", "m")).groupBy("node", "n", "member", "m").agg(F.count("*").alias("shared"))
+    close = close.where(F.col("shared") >= least_shared(F.least("n", "m"), 100))
+    rest = linked(close.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct(), "members")
+    final = components(links.union(rest))
+
+    smallest = nodes.select(F.col("node").alias("label"), F.col("k1").alias("low"))
+    known = stored(
+        nodes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node")).join(smallest, "label").select(
+            "s1", "s2", "copies", "low", (F.col("label") == F.col("node")).alias("leads"), F.col("k1").alias("f1"), F.col("k2").alias("f2")),
+        "classes",
     )
-    links = stored(links.union(linked(second)), "links_of_tokens")
-    labels = components(links)
-    rest = stored(in_classes(labels), "open_tokens")
-    other = rest.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    third = rest.join(other, "token").where("label_a < label").where(sizes).select("a", F.col("node").alias("b")).distinct()
-    labels = components(links.union(linked(third)))
-    classes = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
-    classed = sets.join(classes, ["s1", "s2"], "left")
+    classed = by_key(sets.select("k1", "k2", "n", "s1", "s2"), known, ["s1", "s2"], "copies", total)
+    classed = classed.withColumn("component", F.coalesce("low", "k1")).withColumn(
+        "first", F.when(F.col("leads").isNull(), True).otherwise(F.col("leads") & (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))))
     return classed.select(
         id_of().alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif(F.when(F.col("n") > 0, F.col("label.k1")).otherwise(F.col("k1")), F.lit(-(1 << 63))).alias("component_id"),
-        F.col("k2").alias("text_key"),
-        F.when(F.col("n") > 0, F.col("label") == F.struct("k1", "k2")).otherwise(True).alias("first"),
+        id_of("component").alias("component_id"), F.col("k2").alias("text_key"), "first",
     )
 
 
