@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a token-group matrix, down to connected classes.
 
 Texts with one set of shingles are one node. A node is queried by its prefix: its rarest shingles, as many as two linked
-sets cannot both miss, and some more, of which linked sets then share several.
+sets cannot both miss, each with its place in the order of rarity. The first shingle that two sets share bounds their
+overlap: to what follows its place in either.
 
 1. Nodes are partitioned into groups by their least shingle hash, which similar sets share. Each node is compared with the
    first of its group; the links give classes, the groups of the matrix.
 2. The matrix holds for each token the classes whose union of prefixes has it. Tokens that one class alone holds are
-   dropped at once: its members are connected already.
-3. For each node and each other class the tokens of its prefix in the class's union are counted. The count bounds the
-   overlap with every member, so a class below the least count is not opened.
-4. Of an opened class, first the first member that shares a token is compared, and classes merge. Then the members are
-   compared whose own prefixes share enough with the node's and that still are in another class.
+   dropped at once: its members are connected already. Some rounds then compare each node with one other class, so that
+   classes of near copies merge before they are held against each other.
+3. For each node and each other class the overlap is bounded from the places of a token in the node and in the class's
+   union. A class whose bound is below what a link with its least member in question takes is not opened.
+4. Of an opened class the members are compared whose own bound, size and number of common prefix tokens allow a link.
 
 Every pair of nodes that may link is compared or already connected, so no class is split. Sets are sets of 64-bit hashes.
 """
@@ -29,10 +30,10 @@ from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_
 
 MOST = 4 << 20
 CELLS = 1 << 20
-#: One more token of the prefix, and of those that linked sets share in it, for so many shingles.
-MORE = 32
 #: Texts that one task compares with another.
 PARTNERS = 512
+#: Rounds in which each node meets one class; classes that have merged by then need not be opened.
+ROUNDS = 2
 SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>"
 
 
@@ -53,12 +54,6 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def least_shared(n: str | Column, percent: int) -> Column:
-    """Prefix tokens that a set of n shingles shares with any linked one, which has at least ``percent`` of n."""
-    n = F.col(n) if isinstance(n, str) else n
-    return 1 + F.floor(F.ceil(n * percent / 100) / MORE)
-
-
 def cell_emitter(width: int):
     """Counters of shingles by hash. They only order the shingles by rarity: any order gives the same links."""
 
@@ -86,7 +81,7 @@ def sets_emitter(width: int, percent: int, weight: np.ndarray):
             chosen = []
             for s in sets:
                 order = np.argsort(weight[(s % np.uint64(CELLS)).astype(np.int64)], kind="stable")
-                chosen.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1 + len(s) // MORE]].view(np.int64))
+                chosen.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
             ends = np.cumsum([0, *map(len, chosen)])
             flat = np.concatenate([np.zeros(0, np.int64), *chosen])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -172,41 +167,74 @@ def keyed_classes(
     def sized(n: str, m: str) -> Column:
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+    def takes(n: Column, m: Column) -> Column:
+        """Common shingles that a link of sets of these sizes takes."""
+        return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
+
+    def smallest_for(n: Column) -> Column:
+        """Size of the smallest set that can link with one of n shingles."""
+        return F.ceil(percent * n / 100)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows ``token, node, n, bound, label`` of the tokens that several classes hold."""
+        several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        return stored(rows.join(several.select("token"), "token", "left_semi").select("token", "node", "n", "bound", "label"), "matrix")
+
     centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n")).alias("c"))
     first = nodes.join(centres, "group").where(sized("n", "c.n") & (F.col("node") != F.col("c.node")))
     links = linked(first.select(F.col("c.node").alias("a"), F.col("node").alias("b")), "groups")
     labels = components(links)
 
-    stands = nodes.select("k1", "k2", "s1", "s2", "node").join(labels, "node", "left")
-    held = sets.join(stands.select("k1", "k2", "s1", "s2", "node", F.coalesce("label", "node").alias("label")), ["k1", "k2", "s1", "s2"])
+    stands = nodes.select("k1", "k2", "node")
+    held = sets.where("n > 0").join(stands, ["k1", "k2"])
     if held.count() > nodes.count():
         # Rows that are equal in id and text.
         held = held.dropDuplicates(["node"])
-    by_token = held.select(F.explode("prefix").alias("token"), "node", "label").repartition("token")
-    mixed = by_token.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    sizes = nodes.select("node", "n")
-    tokens = stored(by_token.join(mixed, "token", "left_semi").select("token", "node", "label").distinct().join(sizes, "node"), "matrix")
-
-    # Class unions against prefixes: classes that hold enough of a node's tokens, and may hold a member of its size.
-    unions = tokens.groupBy("token", "label").agg(F.min(F.struct("node", "n")).alias("f"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    of_class = unions.select("token", F.col("label").alias("other"), F.col("f.node").alias("at"), "least_n", "most_n")
-    met = tokens.join(of_class, "token").where("label != other").groupBy("node", "n", "label", "other").agg(
-        F.count("*").alias("shared"), F.min("at").alias("at"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
-    enough = F.col("shared") >= least_shared("n", percent)
-    fits = (100 * F.col("most_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least_n"))
-    opened = stored(met.where(enough & fits).select("node", "label", "other", "at"), "opened")
-    more = linked(opened.select(F.least("node", "at").alias("a"), F.greatest("node", "at").alias("b")).distinct(), "classes")
-    links = links.union(more)
-    merged = components(links)
-
-    now = merged.select(F.col("node"), F.col("label").alias("now"))
-    still = opened.join(now, "node", "left").select("node", "other", F.coalesce("now", "node").alias("now"))
-    one = tokens.join(still, "node").select("token", "node", "n", "other", "now")
-    two = tokens.join(now, "node", "left").select(
-        "token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("other"), F.coalesce("now", "node").alias("its"))
-    close = one.join(two, ["token", "other"]).where("now != its").where(sized("n", "m")).groupBy("node", "n", "member", "m").agg(F.count("*").alias("shared"))
-    close = close.where(F.col("shared") >= least_shared(F.least("n", "m"), 100))
-    rest = linked(close.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct(), "members")
+    sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+    prefixes = held.select("node", F.posexplode("prefix").alias("place", "token"))
+    several = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    shared = stored(prefixes.join(several.select("token"), "token", "left_semi"), "shared_tokens")
+    # What follows a token's place is all that may be common when it is the first common one.
+    matrix = mixed(shared.join(sizes, "node").withColumn("bound", (F.col("n") - F.col("place")).cast("int")))
+    discard(shared)
+    n, bound = F.col("n"), F.col("bound")
+
+    for turn in range(ROUNDS):
+        # Each node meets the first class of the tokens that it shares most of with one.
+        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", "node", "n", "bound")).alias("f"))
+        met = matrix.join(firsts, "token").where(
+            (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n"))
+        shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))
+        best = shared.groupBy("node").agg(F.max(F.struct("shared", (-F.col("at")).alias("at"))).alias("best"))
+        more = linked(best.select((-F.col("best.at")).alias("a"), F.col("node").alias("b")), f"round_{turn}")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+        before, relabelled = matrix, matrix.drop("label").join(labels, "node", "left")
+        matrix = mixed(relabelled.withColumn("label", F.coalesce("label", "node")))
+        discard(before)
+
+    unions = matrix.groupBy("token", F.col("label").alias("other")).agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("bound").alias("most"))
+    may_hold = (F.col("most_n") >= smallest_for(n)) & (n >= smallest_for(F.col("least_n")))
+    reaches = F.least(bound, "most") >= takes(n, F.greatest("least_n", smallest_for(n)))
+    met = matrix.join(unions, "token").where((F.col("label") != F.col("other")) & may_hold & reaches)
+    opened = stored(met.select("node", "other").distinct(), "opened")
+    members = matrix.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"))
+    close = (
+        matrix.join(opened, "node").select("token", "node", "n", "bound", "other").join(members, ["token", "other"])
+        .where((F.col("node") < F.col("member")) & sized("n", "m") & (F.least(bound, "its") >= takes(n, F.col("m"))))
+    )
+    pairs = stored(close.select("node", "n", "member", "m").distinct(), "close")
+    # The prefix that ends first in the order of rarity holds all it shares with the other set inside the other's prefix, so
+    # what it holds beyond is missing there. The prefix of the larger set allows the fewest.
+    common = (
+        pairs.join(matrix.select("node", "token"), "node").join(members.select("member", "token"), ["member", "token"])
+        .groupBy("node", "n", "member", "m").agg(F.count("*").alias("common"))
+    )
+    enough = F.col("common") > takes(n, F.col("m")) - smallest_for(F.greatest("n", "m"))
+    rest = linked(common.where(enough).select(F.col("node").alias("a"), F.col("member").alias("b")), "members")
     final = components(links.union(rest))
 
     smallest = nodes.select(F.col("node").alias("label"), F.col("k1").alias("low"))

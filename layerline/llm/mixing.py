@@ -13,6 +13,22 @@ from layerline.llm.common import stored, text_key, whole_text
 from layerline.llm.quality import let, words_of
 
 BUCKETS = 1024
+#: Weights of the domains of labelled documents: those of good quality and the others.
+TARGETS = {"good": 0.9, "poor": 0.1}
+#: A miss of a domain's tokens, as a share of what it has, that counts as none.
+TOLERANCE = 1e-3
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DataFrame:
+    """``text, domain`` of about ``most_labels`` labelled documents at most, drawn by a hash of their ids.
+
+    The ids drawn are broadcast, so that texts are read where they lie.
+    """
+    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    share = min(1.0, most_labels / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "domain")
 
 
 def buckets_of(words: Column) -> Column:
@@ -61,9 +77,13 @@ def rates(steps: list[list[float]]) -> Column:
 
 def mix_to_targets(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id",
-    text_col: str = "text", steps: int = 12, most_domains: int = 64, with_key: bool = False,
+    text_col: str = "text", steps: int = 100, most_domains: int = 64, with_key: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_tokens, posterior, rate, copies``, one row per row of ``docs``; ``with_key`` adds ``text_key``.
+    """``doc_id, n_tokens, posterior, rate, copies, miss, reached``, one row per row of ``docs``; ``with_key`` adds ``text_key``.
+
+    ``miss`` is the largest miss of a domain's expected tokens as a share of all tokens, alike in all rows, and ``reached``
+    whether it is within ``TOLERANCE``. Steps end there, or where they no longer bring the totals nearer, as for targets that
+    no nonnegative rates meet, or after ``steps``: the rates of the nearest totals are returned.
 
     ``labelled`` has ``text, domain``; rows with a null domain are left out. ``targets`` gives each domain's weight
     (default: equal); the token total stays that of the input. A rate's whole part gives copies for sure, and its
@@ -80,7 +100,8 @@ def mix_to_targets(
     draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
     if not domains:
         return rows.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"),
-                           F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), *key)
+                           F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"),
+                           F.lit(0.0).alias("miss"), F.lit(True).alias("reached"), *key)
     # One row of BUCKETS x domains numbers.
     model = stored(weights(labelled, domains), "mixing_weights")
     scored = stored(
@@ -104,17 +125,23 @@ def mix_to_targets(
         raise ValueError("targets must be nonnegative and weigh a known domain")
     goal = [whole * w / sum(wanted) for w in wanted]
     taken: list[list[float]] = []
-    now = have
-    for _ in range(steps):
+    now, since, best, nearest = have, 0, 0, float("inf")
+    while True:
+        miss = max((abs(x - g) for x, g in zip(now, goal)), default=0.0) / whole if whole else 0.0
+        if miss < nearest * (1 - 1e-3):
+            nearest, best, since = miss, len(taken), 0
+        else:
+            since += 1
         # The objective is the squared miss over each domain's own tokens, which bounds the curvature by one.
         gradient = [round((now[i] - goal[i]) / have[i], 6) if have[i] else 0.0 for i in span]
-        if max(map(abs, gradient)) < 1e-3:
+        if miss <= TOLERANCE or since >= 5 or len(taken) >= steps or not any(gradient):
             break
         taken.append(gradient)
         now = totals(taken)
+    taken = taken[:best]
     rate = F.round(rates(taken), 6)
     return scored.withColumn("rate", rate).select(
         "doc_id", "n_tokens", "posterior", "rate",
         (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"),
-        *key,
+        F.lit(float(nearest)).alias("miss"), F.lit(nearest <= TOLERANCE).alias("reached"), *key,
     )

@@ -11,7 +11,7 @@ from layerline.llm.exact_copies import exact_copies
 from layerline.llm.jaccard import jaccard_classes
 from layerline.llm.language import held_out, language_id
 from layerline.llm.lexical import lexical_search
-from layerline.llm.mixing import mix_to_targets
+from layerline.llm.mixing import TARGETS, labelled_domains, mix_to_targets
 from layerline.llm.pieces import piece_ids
 from layerline.llm.quality import quality_rules
 from layerline.llm.repeats import repeated_strings, repeated_words
@@ -43,7 +43,8 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(documents(spark, sf_dir))
+    found = repeated_words(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
 
 @query
@@ -103,7 +104,8 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return mix_to_targets(docs, corpus_pipeline.labelled_domains(spark, sf_dir), corpus_pipeline.TARGETS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mix_to_targets(docs, labelled_domains(docs, labels), TARGETS)
 
 
 @query

@@ -168,11 +168,11 @@ def remove_repeats(
     cells = rows.mapInArrow(cells_emitter(kind, length, gram), CELLS)
     regions = cells.groupBy("anchor", "r1", "r2").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.min("k1").alias("first_id"),
         F.min(F.struct("k1", "k2", "start", "n")).alias("stands"),
     )
     buckets = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("copies").alias("n_cells"))
-    shared = stored(regions.join(buckets.where("n_cells > 1"), "anchor"), "shared_regions")
+    shared = regions.join(buckets.where("n_cells > 1"), "anchor").withColumn("first_id", F.col("stands.k1"))
+    shared = stored(shared, "shared_regions")
     opened = (
         shared.where("n_regions > 1")
         .select("stands.*", "r1", "r2", "copies", "first_id")

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from layerline.llm.jaccard import MORE, jaccard_classes, one_of_each
+from layerline.llm.jaccard import jaccard_classes, one_of_each
 from layerline.llm.shipping import ship
 from tests.llm import brute
 
@@ -39,7 +39,6 @@ def test_chains_of_near_copies_and_sizes_at_the_edge(spark):
     rows = [(1000 - i, " ".join(words[6 * i: 6 * i + 150])) for i in range(40)]
     rows += [(i, " ".join(words[:n])) for i, n in enumerate((100, 104, 108, 114, 120, 129, 130, 145, 180, 181, 182), 1)]
     rows += [(-5, rows[3][1]), (7, rows[5][1]), (7, rows[5][1]), (7, rows[5][1]), (20, "One two THREE four"), (21, "one two three four"), (22, "one two three")]
-    assert len(rows[0][1].split()) > 2 * MORE
     assert got(jaccard_classes(documents(spark, rows))) == brute.classes(rows)
     kept = Counter((r.doc_id, r.text) for r in one_of_each(documents(spark, rows)).collect())
     # One row of each component stays; rows equal in id and text stay together.
@@ -57,3 +56,35 @@ def test_other_thresholds(spark, percent):
             w[draw.randrange(len(w))] = f"x{draw.randint(0, 40)}"
         rows.append((i, " ".join(w)))
     assert got(jaccard_classes(documents(spark, rows), percent=percent)) == brute.classes(rows, percent=percent)
+
+
+def test_mixing_reaches_or_tells(spark):
+    """Totals against a plain projected gradient over the same posteriors; a target out of reach is told."""
+    import numpy as np
+
+    from layerline.llm.mixing import TOLERANCE, labelled_domains, mix_to_targets
+
+    draw = random.Random(2)
+    good, poor = [f"alpha{i}" for i in range(30)], [f"omega{i}" for i in range(30)]
+    text = lambda share, n: " ".join(draw.choice(good if draw.random() < share else poor) for _ in range(n))
+    rows = [(i, text(draw.random(), draw.randint(1, 80))) for i in range(300)] + [(400, None), (401, "")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(0, 60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    train = documents(spark, [(i, text(0.97 if i % 2 == 0 else 0.03, 40)) for i in range(60)])
+    labelled = labelled_domains(train, labels)
+    assert labelled.count() == 60 and labelled_domains(train, labels, 20).count() < 60
+    for goal in (0.5, 0.8, 0.15):
+        out = mix_to_targets(docs, labelled, {"good": goal, "poor": 1 - goal}).collect()
+        p = np.array([r.posterior for r in out]) * np.array([[r.n_tokens] for r in out])
+        rate = np.array([r.rate for r in out])
+        totals, whole = rate @ p, p.sum()
+        assert out[0].reached and out[0].miss <= TOLERANCE and min(rate) >= 0
+        assert abs(totals[0] / whole - goal) < 2 * TOLERANCE and abs(totals.sum() / whole - 1) < 4 * TOLERANCE
+        # The nearest nonnegative rates meet the targets too: no better totals are to be had.
+        plain = np.ones(len(out))
+        for _ in range(3000):
+            plain = np.maximum(0, plain - 0.5 * (p / p.sum(0)) @ ((plain @ p - whole * np.array([goal, 1 - goal])) / p.sum(0)))
+        assert np.abs(plain @ p / whole - totals / whole).max() < 5 * TOLERANCE
+    mixed_only = documents(spark, [(i, text(0.5, 200)) for i in range(40)])
+    out = mix_to_targets(mixed_only, labelled, {"good": 1.0, "poor": 0.0}).collect()
+    assert not out[0].reached and out[0].miss > TOLERANCE
