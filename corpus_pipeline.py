@@ -11,23 +11,11 @@ from layerline.llm.common import same_row
 from layerline.llm.exact_copies import drop_copies
 from layerline.llm.jaccard import one_of_each
 from layerline.llm.language import held_out, language_id
-from layerline.llm.mixing import mix_to_targets
+from layerline.llm.mixing import TARGETS, labelled_domains, mix_to_targets
 from layerline.llm.pieces import piece_ids
 from layerline.llm.shipping import ship
 from layerline.session import scratch_path
 
-#: Weights of the domains: quality and toxicity of the labelled documents.
-TARGETS = {"good": 0.9, "poor": 0.1}
-
-
-def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``text, domain`` of the labelled documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return docs.join(labels, "doc_id").select("text", domain.alias("domain"))
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; the others go, and so do those without a letter."""
     ship(spark)
@@ -52,7 +40,8 @@ def near_copies_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: none, one or several rows."""
     ship(spark)
-    found = mix_to_targets(docs, labelled_domains(spark, sf_dir), TARGETS, with_key=True).where("copies > 0")
+    labelled = labelled_domains(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = mix_to_targets(docs, labelled, TARGETS, with_key=True).where("copies > 0")
     times = found.groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).agg(F.max("copies").alias("__copies"))
     joined = docs.join(times, same_row("doc_id", "text"))
     repeated = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
