@@ -229,10 +229,8 @@ def keyed_classes(
     pairs = stored(close.select("node", "n", "member", "m").distinct(), "close")
     # The prefix that ends first in the order of rarity holds all it shares with the other set inside the other's prefix, so
     # what it holds beyond is missing there. The prefix of the larger set allows the fewest.
-    common = (
-        pairs.join(matrix.select("node", "token"), "node").join(members.select("member", "token"), ["member", "token"])
-        .groupBy("node", "n", "member", "m").agg(F.count("*").alias("common"))
-    )
+    own, other = held.select("node", "prefix"), held.select(F.col("node").alias("member"), F.col("prefix").alias("theirs"))
+    common = pairs.join(own, "node").join(other, "member").withColumn("common", F.size(F.array_intersect("prefix", "theirs")))
     enough = F.col("common") > takes(n, F.col("m")) - smallest_for(F.greatest("n", "m"))
     rest = linked(common.where(enough).select(F.col("node").alias("a"), F.col("member").alias("b")), "members")
     final = components(links.union(rest))

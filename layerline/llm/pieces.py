@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,11 @@ class PieceCodec:
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        # A piece's range of suffixes ends where its last character is exceeded.
+        self.above = np.array([p[:-1] + chr(ord(p[-1]) + 1) for p, _ in normal], f"U{self.width}")
+        spelled = {i: bytes([b]) for b, i in self.byte.items()}
+        self.bytes_of = {i: spelled.get(i, p.encode()) for i, p in every}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the model's own rule: the best pair first, the leftmost of equals."""
@@ -72,9 +78,7 @@ class PieceCodec:
         order = np.argsort(suffixes, kind="stable")
         ranked = suffixes[order]
         low = np.searchsorted(ranked, self.names, "left")
-        # A piece's range ends where its last character is exceeded.
-        above = np.array([p[:-1] + chr(ord(p[-1]) + 1) for p in self.names.tolist()], f"U{self.width}")
-        high = np.searchsorted(ranked, above, "left")
+        high = np.searchsorted(ranked, self.above, "left")
         count = high - low
         hit = np.flatnonzero(count)
         which = np.repeat(hit, count[hit])
@@ -102,14 +106,17 @@ class PieceCodec:
                     if self.merged_alone(piece) and (i == 0 or self.follows(last[i], piece)):
                         last[j] = piece
                         break
-            out: list[int] = []
+            back: list[int] = []
             j = len(chunk)
             while j:
                 piece = last[j]
                 known = self.id.get(piece)
-                out[:0] = [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+                if known is not None:
+                    back.append(known)
+                else:
+                    back.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
                 j -= len(piece)
-            self.chunks[chunk] = tuple(out)
+            self.chunks[chunk] = tuple(reversed(back))
             start += len(chunk) + 1
 
     def merged_alone(self, piece: str) -> bool:
@@ -136,9 +143,18 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(text) for text in texts]
-        if len(self.chunks) > 200_000:
-            self.chunks.clear()
-        new = sorted({c for chunks in split for c in chunks if c not in self.chunks})
+        if len(self.chunks) > 150_000:
+            # Chunks that are met again come back from the older half, so frequent ones are not lost.
+            self.older, self.chunks = self.chunks, {}
+        new = []
+        for chunk in {c for chunks in split for c in chunks}:
+            if chunk not in self.chunks:
+                known = self.older.get(chunk)
+                if known is None:
+                    new.append(chunk)
+                else:
+                    self.chunks[chunk] = known
+        new.sort()
         size, part = 0, []
         for chunk in new:
             part.append(chunk)
@@ -148,11 +164,10 @@ class PieceCodec:
                 size, part = 0, []
         if part:
             self.learn(part)
-        return [np.array([i for c in chunks for i in self.chunks[c]], np.int32) for chunks in split]
+        return [np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chunks)), np.int32) for chunks in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        back = {i: b for b, i in self.byte.items()}
-        out = b"".join(bytes([back[i]]) if i in back else self.piece[i].encode() for i in ids.tolist())
+        out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
