@@ -33,7 +33,7 @@ CELLS = 1 << 20
 #: Texts that one task compares with another.
 PARTNERS = 512
 #: Rounds in which each node meets one class; classes that have merged by then need not be opened.
-ROUNDS = 2
+ROUNDS = 3
 SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>"
 
 
@@ -200,8 +200,10 @@ def keyed_classes(
     n, bound = F.col("n"), F.col("bound")
 
     for turn in range(ROUNDS):
-        # Each node meets the first class of the tokens that it shares most of with one.
-        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", "node", "n", "bound")).alias("f"))
+        # Each node meets the class of least label of the tokens that it shares most of with one, by a member that differs
+        # from round to round.
+        drawn = (F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("drawn")
+        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound")).alias("f"))
         met = matrix.join(firsts, "token").where(
             (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n"))
         shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))

@@ -143,7 +143,7 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(text) for text in texts]
-        if len(self.chunks) > 150_000:
+        if len(self.chunks) > 100_000:
             # Chunks that are met again come back from the older half, so frequent ones are not lost.
             self.older, self.chunks = self.chunks, {}
         new = []
