@@ -3,6 +3,7 @@
 Patterns find the base spans. The values of these and of bare random-looking tokens are hashed, and each hash is counted
 by distinct repositories and distinct owners. A value that one owner alone uses looks live; one that many owners have is a
 copied example. Bare tokens equal to an owner-specific value are added as spans of kind ``live``; base spans always stay.
+A bare token ends at ``=``, but for padding at its end, so a value counts alike with a name before it and without one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ ASSIGN = re.compile(r"""((?:(?ai:password|passwd|secret|token|api_?key)))["']?\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 
 
 def scan(text: str) -> list[tuple[int, int, int, int]]:
@@ -48,6 +49,17 @@ def bare_tokens(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def outside(bare: list[tuple[int, int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """The bare tokens that no base span covers; both are in order of their starts."""
+    out, reach, i = [], 0, 0
+    for token in bare:
+        while i < len(base) and base[i][0] <= token[0]:
+            reach, i = max(reach, base[i][2]), i + 1
+        if token[1] > reach:
+            out.append(token)
+    return out
+
+
 def value_hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
@@ -56,19 +68,21 @@ def scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("doc_id", pa.int64()), ("repository", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()),
         ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()),
-        ("bare", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64())]))), ("hashes", pa.list_(pa.int64())),
+        ("held", pa.list_(pa.struct([
+            ("hash", pa.int64()), ("bare", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]))),
     ])
     for batch in slices(batches, 4 << 20):
-        columns = [[] for _ in range(6)]
+        columns = [[] for _ in range(5)]
         for text in batch.column("text").to_pylist():
             found = scan(text)
-            taken = {(s, e) for s, _, e, _ in found}
-            bare = [t for t in bare_tokens(text) if t[:2] not in taken]
+            places: dict[int, list[dict]] = {h: [] for *_, h in found}
+            for s, e, h in outside(bare_tokens(text), found):
+                places.setdefault(h, []).append({"start": s, "end": e})
             for i in range(3):
                 columns[i].append(sum(rank == i for _, rank, _, _ in found))
             columns[3].append(",".join(f"{KINDS[rank][0]}:{s}:{e}" for s, rank, e, _ in found))
-            columns[4].append([{"start": s, "end": e, "hash": h} for s, e, h in bare])
-            columns[5].append(sorted({f[3] for f in found} | {t[2] for t in bare}))
+            columns[4].append([{"hash": h, "bare": places[h]} for h in sorted(places)])
         yield record(schema, batch.column("doc_id"), batch.column("repository"), batch.column("owner"), *columns)
 
 
@@ -80,7 +94,8 @@ def secret_scan(
 
     A value is live when at most ``most_repositories`` repositories and ``most_owners`` owners hold it. ``n_live`` and
     ``n_copied`` count a row's values that are live and the others.
-    Null texts are empty. A null owner or repository counts as one more of its kind. An empty table gives no rows.
+    Null texts are empty, and a text has its base spans whatever its length; a bare token inside one is no span of its own.
+    Rows equal in id and text count once per repository and owner. A null owner or repository counts as one more of its kind. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -90,25 +105,26 @@ def secret_scan(
     )
     ddl = (
         "doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base string, "
-        "bare array<struct<start: long, end: long, hash: long>>, hashes array<long>"
+        "held array<struct<hash: long, bare: array<struct<start: long, end: long>>>>"
     )
     found = stored(rows.mapInArrow(scan_rows, ddl), "secret_candidates")
-    none = F.size("hashes") == 0
-    some = found.where(~none).withColumn("row", F.xxhash64("doc_id", "base", "bare", "hashes"))
-    held = some.select("row", "doc_id", "repository", "owner", F.explode("hashes").alias("hash"))
+    none = F.size("held") == 0
+    some = found.where(~none).withColumn("row", F.xxhash64("doc_id", "base", "held"))
+    values = some.select("row", "doc_id", "repository", "owner", F.explode("held").alias("value")).withColumn("hash", F.col("value.hash"))
     owners = (
-        held.select("hash", "owner", "repository").distinct()
+        values.select("hash", "owner", "repository").distinct()
         .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
         .select("hash", F.expr(f"n_owners <= {int(most_owners)} AND n_repositories <= {int(most_repositories)}").alias("is_live"))
     )
     judged = (
-        held.select("row", "doc_id", "hash").distinct().join(owners, "hash").groupBy("doc_id", "row")
+        values.select("row", "doc_id", "hash", "value.bare").distinct().join(owners, "hash").groupBy("doc_id", "row")
         .agg(
-            F.sort_array(F.collect_list(F.when(F.col("is_live"), F.col("hash")))).alias("live"),
+            F.flatten(F.collect_list(F.when(F.col("is_live"), F.col("bare")))).alias("live"),
+            F.count_if("is_live").alias("n_live"),
             F.count_if(~F.col("is_live")).alias("n_copied"),
         )
-        .select(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "live", "n_copied")
+        .select(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "live", "n_live", "n_copied")
     )
     joined = some.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("id_row")), "left")
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
@@ -118,12 +134,12 @@ def secret_scan(
         s.alias("span"),
     ))
     added = F.transform(
-        F.filter("bare", lambda b: F.array_contains("live", b["hash"])),
+        "live",
         lambda b: F.struct(b["start"].alias("start"), F.lit(len(KINDS) + 1).cast("long").alias("rank"), F.concat(F.lit("live:"), b["start"], F.lit(":"), b["end"]).alias("span")),
     )
     listed = F.array_join(F.transform(F.sort_array(F.concat(spans, added)), lambda s: s["span"]), ",")
     counts = ("n_assign", "n_access", "n_hex")
     sha = F.sha2(F.col("base"), 256).alias("base_sha256")
-    with_values = joined.select("doc_id", *counts, sha, listed.alias("spans"), F.size("live").cast("long").alias("n_live"), F.col("n_copied").cast("long").alias("n_copied"))
+    with_values = joined.select("doc_id", *counts, sha, listed.alias("spans"), F.col("n_live").cast("long").alias("n_live"), F.col("n_copied").cast("long").alias("n_copied"))
     zero = F.lit(0).cast("long")
     return with_values.unionByName(found.where(none).select("doc_id", *counts, sha, F.col("base").alias("spans"), zero.alias("n_live"), zero.alias("n_copied")))

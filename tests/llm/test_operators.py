@@ -1,17 +1,19 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from layerline.llm.exact_copies import drop_copies, exact_copies
+from layerline.llm.exact_copies import drop_copies, exact_copies, run_marker
 from layerline.llm.jaccard import jaccard_classes, one_of_each
 from layerline.llm.language import held_out, language_id
-from layerline.llm.mixing import mix_to_targets
+from layerline.llm.mixing import TARGETS, labelled_domains, mix_to_targets
 from layerline.llm.pieces import piece_ids
 from layerline.llm.quality import quality_rules
 from layerline.llm.queries import LLM_QUERIES
@@ -120,7 +122,8 @@ def test_pipeline_equal_ids(spark):
     near = texts(one_of_each(made(spark, [(None, one), (None, one + " z"), (None, two)])))
     assert sum(near.values()) == 2 and near[(None, two)] == 1
     mixed = [(None, prose(20)) for _ in range(40)]
-    plain = mix_to_targets(made(spark, mixed), corpus_pipeline.labelled_domains(spark, folder), corpus_pipeline.TARGETS, with_key=True)
+    corpus, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    plain = mix_to_targets(made(spark, mixed), labelled_domains(corpus, labels), TARGETS, with_key=True)
     assert corpus_pipeline.mixture(spark, made(spark, mixed), folder).count() == sum(r.copies for r in plain.collect())
 
 
@@ -149,6 +152,35 @@ def test_secrets(spark, odd_rows):
     assert [r.spans for r in out if r.doc_id == 103 and r.spans] == ["live:10:30"]
 
 
+def test_secret_values_with_and_without_a_name(spark):
+    """A value counts alike bare, after a name and inside a base span, so owners of all three forms are found."""
+    one, two, padded = "Zq81Lm0pWx73Kd92Vb45", "Yt64Hn2cRs85Jf17Ga30", "QmFzZTY0IHZhbHVlIDEyMw=="
+    rows = [
+        (1, f"auth={one}", "a"), (2, f"{one} bare", "b"), (3, f"auth={two} and {two}", "a"), (4, f"secret={two}", "a"),
+        (5, f"x={padded}", "a"), (6, f"secret={padded};", "c"), (7, f"some_quite_long_name_01={'Kd83' * 6}", "d"), (8, None, "d"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in secret_scan(docs).collect()}
+    assert out[1] == ("", 0, 1) and out[2] == ("", 0, 1)
+    assert out[3] == ("live:5:25,live:30:50", 1, 0) and out[4] == ("assign:0:27", 1, 0)
+    assert out[5] == ("", 0, 1) and out[6] == ("assign:0:31", 0, 1)
+    assert out[7][1] == 1 and out[8] == ("", 0, 0)
+
+
+def test_secret_spans_are_by_owner(spark):
+    """Added spans against a plain count of owners, on values that one, two or all owners hold."""
+    draw = random.Random(21)
+    token = lambda: "".join(draw.choice("abcdefghijkmnpqrstuvwxyz0123456789ABCDEFGH") for _ in range(24)) + "7x"
+    values = [token() for _ in range(40)]
+    rows = [(i, " ".join(["word", *draw.sample(values[: 10 if i % 3 else 40], 4)]), f"s{draw.randint(0, 5)}") for i in range(120)]
+    owners = {v: {s for _, t, s in rows if v in t} for v in values}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in secret_scan(docs, most_repositories=2, most_owners=2).collect():
+        text = rows[r.doc_id][1]
+        live = sorted((text.index(v), v) for v in values if v in text and len(owners[v]) <= 2)
+        assert r.spans == ",".join(f"live:{a}:{a + len(v)}" for a, v in live)
+
+
 def test_quality(spark, odd_rows):
     rows = odd_rows + documents(spark) + [(200, "x y z w a b c d " * 9), (201, "# a\n# a\n\n \n|b|")]
     out = quality_rules(made(spark, rows)).collect()
@@ -204,6 +236,40 @@ def test_exact_copies(spark, odd_rows):
     assert out == Counter((k, last[t or ""], texts[t or ""]) for k, t in odd_rows)
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_copies_over_partitions(spark, keep):
+    """A text that fills several partitions, runs within one, rows equal in id and text, and null ids."""
+    draw = random.Random(13)
+    rows = [(i, "hot") for i in range(3000)] + [(None, "hot"), (None, "lone"), (None, "lone"), (None, None), (5, "")]
+    rows += [(draw.randint(0, 400), f"text {draw.randint(0, 300)}") for _ in range(2000)]
+    groups: dict = {}
+    for k, t in rows:
+        groups.setdefault(t or "", []).append(k)
+    ids = {t: [k for k in found if k is not None] for t, found in groups.items()}
+    stays = {t: (max if keep == "largest" else min)(found) if found else None for t, found in ids.items()}
+    out = exact_copies(made(spark, rows).repartition(8), keep=keep).collect()
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    assert Counter((r.doc_id, digest[r.text_sha256]) for r in out) == Counter((k, t or "") for k, t in rows)
+    assert all((r.keep_id, r.group_size) == (stays[digest[r.text_sha256]], len(groups[digest[r.text_sha256]])) for r in out)
+    assert Counter(r.text_sha256 for r in out if r.kept) == Counter(digest.keys())
+    assert all(r.doc_id == r.keep_id for r in out if r.kept)
+
+
+@pytest.mark.parametrize("size", [1, 3, 10_000])
+def test_runs_are_decided_by_neighbours(size):
+    """Runs inside a partition come out decided; only those that share a print with an edge are left to meet others."""
+    texts = ["a"] * 3 + ["b"] * 2 + ["c"] + ["d"] * 70_000 + ["e", "f", "f"]
+    prints = [{"f": 9, "e": 9}.get(t, ord(t)) for t in texts]
+    table = pa.table({"doc_id": pa.array([None, 1, 1, *range(2, len(texts) - 1)], pa.int64()), "text": texts, "print": pa.array(prints, pa.int64())})
+    out = pa.Table.from_batches(run_marker(True)(iter(table.to_batches(max_chunksize=max(size, 7 * (size < 4)))))).to_pylist()
+    assert [r["doc_id"] for r in out] == table.column("doc_id").to_pylist()
+    assert [r["edge"] for r in out] == [t in "aef" for t in texts]
+    assert [r["first"] for r in out] == [i == 0 or texts[i - 1] != t for i, t in enumerate(texts)]
+    assert [r["run_size"] for r in out] == [texts.count(t) for t in texts]
+    assert [r["repeated"] for r in out][:4] == [False, False, True, False] and not any(r["repeated"] for r in out[3:])
+    assert out[1]["run_keep"] == 1 and out[10]["run_keep"] == out[70_005]["doc_id"]
+
+
 def test_pieces(spark, odd_rows):
     from sentencepiece import SentencePieceProcessor
 
