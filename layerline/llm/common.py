@@ -17,10 +17,22 @@ NO_ID = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Whether the shuffle files of a query go when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to the shared scratch folder and read back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    """The rows written to the shared scratch folder and read back: cuts the lineage, survives lost executors.
+
+    What was shuffled for them is deleted at once, since only the written rows are read again.
+    """
+    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found

@@ -4,13 +4,15 @@ Every window of ``length`` symbols has one anchor: the q-gram in it whose hash i
 windows have the same anchor at the same offset, so nothing is lost when only anchors are bucketed. A cell is the run of
 window starts of one document that share an anchor, and its region is the text that those windows cover.
 
-1. Initial buckets: cells by their anchor. A bucket of one cell holds no repeat and is left.
+1. Initial buckets: cells by their anchor, a q-gram. A bucket of one cell holds no repeat and is left.
 2. Cells with equal regions agree in all windows; one of them stands for all.
-3. Buckets that hold different regions are refined window by window: a window's bucket is the pair of the bucket
-   identifiers of its first half and of the half that starts ``length / 2`` later. The identifiers of halves are content
-   hashes, so every window that starts or continues there reuses them.
+3. Buckets that hold different regions are refined, level by level. At a level of width w the windows of a region are
+   parted by their distance to the anchor, w distances to a part. The windows of a part share a core, of ``length - w + 1``
+   symbols around the anchor, and the part's bucket is the pair of the identifiers of the core's first half and of the half
+   that starts later. A part alone in its bucket holds no repeat; the others are refined again, until w is one and the
+   core is the window. Equal windows lie at equal distances of equal anchors, so no pair of them is parted.
 
-Keys of regions and windows have 128 bits. A document's repeated starts are bounded by its own length; a text that very
+Keys of regions and cores have 128 bits. A document's repeated starts are bounded by its own length; a text that very
 many documents share is combined before the shuffle, or split by AQE where it meets its documents again.
 """
 
@@ -23,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from layerline.llm.common import id_of, keyed, record, slices, stored, text_bytes, to_arrow
+from layerline.llm.common import discard, id_of, keyed, record, slices, stored, text_bytes, to_arrow
 from layerline.llm.hashing import BASES, BYTE_VALUES, Windows, mix, sliding_min, word_hashes, word_spans
 
 MOST = 4 << 20
-CELLS = "k1 long, k2 binary, start int, n int, anchor long, r1 long, r2 long"
-OPENED = "w1 long, w2 long, r1 long, r2 long, at int, copies long, first_id long"
+CELLS = "k1 long, k2 binary, start int, n int, d int, anchor long, r1 long, r2 long"
+PARTS = "w1 long, w2 long, region long, at int, n int, d int, mark long"
 
 
 class Bytes:
@@ -64,11 +66,11 @@ class Words:
 
 
 def cells_of(symbols, length: int, gram: int):
-    """Document, first start, number of starts, anchor and the two region hashes of every cell."""
+    """Document, first start, number of starts, distance to the anchor, anchor and the two region hashes of every cell."""
     values, offsets = symbols.values(0), symbols.offsets
     n = len(values)
     if n < length:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 7
     one, two = Windows(values, BASES[0]), Windows(symbols.values(1), BASES[1])
     grams = one(np.arange(n - gram + 1), gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -76,7 +78,7 @@ def cells_of(symbols, length: int, gram: int):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - length + 1]
     start = np.flatnonzero(np.arange(n - length + 1) + length <= offsets[1:][doc])
     if not len(start):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 7
     at = anchor[start]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], len(start)] - 1
@@ -84,7 +86,7 @@ def cells_of(symbols, length: int, gram: int):
     shape = ((size << 32) + (at - a)).astype(np.uint64)
     r1 = one(a, size - 1 + length) ^ mix(shape + np.uint64(1))
     r2 = two(a, size - 1 + length) ^ mix(shape + np.uint64(2))
-    return doc[a], a - offsets[doc[a]], size, grams[at].view(np.int64), r1.view(np.int64), r2.view(np.int64)
+    return doc[a], a - offsets[doc[a]], size, at - a, grams[at].view(np.int64), r1.view(np.int64), r2.view(np.int64)
 
 
 def cells_emitter(kind: type, length: int, gram: int):
@@ -98,29 +100,34 @@ def cells_emitter(kind: type, length: int, gram: int):
     return emit
 
 
-def windows_emitter(kind: type, length: int):
-    half = length // 2
+def parts_emitter(kind: type, length: int, width: int):
+    core = length - width + 1
+    half = core // 2
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow(OPENED)
+        schema = to_arrow(PARTS)
         for batch in slices(batches, MOST):
             symbols = kind(batch.column("text"))
             hashes = Windows(symbols.values(0), BASES[0])
             opened = batch.column("opened")
             rows = opened.flatten()
             doc = np.repeat(np.arange(len(batch)), np.diff(opened.offsets.to_numpy()))
-            field = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("start", "n", "r1", "r2", "copies", "first_id")}
-            n = field["n"].astype(np.int64)
-            cell = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = symbols.offsets[doc[cell]] + field["start"][cell] + at
-            w1, w2 = hashes(start, half), hashes(start + half, length - half)
-            for i in range(0, len(cell), 100_000):
-                part = slice(i, i + 100_000)
-                c = cell[part]
+            field = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("region", "start", "at", "n", "d", "mark")}
+            start, n, d = (field[name].astype(np.int64) for name in ("start", "n", "d"))
+            anchor = symbols.offsets[doc] + start + d
+            many = d // width - (d - n + 1) // width + 1
+            ends = np.cumsum(many)
+            for i in range(0, len(n), 20_000):
+                j = min(i + 20_000, len(n))
+                cell = np.repeat(np.arange(i, j), many[i:j])
+                part = d[cell] // width - (np.arange(len(cell)) + ends[i] - many[i] - (ends - many)[cell])
+                far = np.minimum(d[cell], part * width + width - 1)
+                near = np.maximum((d - n + 1)[cell], part * width)
+                first = anchor[cell] - part * width
+                w1, w2 = hashes(first, half), hashes(first + half, core - half)
                 yield record(
-                    schema, w1[part].view(np.int64), w2[part].view(np.int64), field["r1"][c], field["r2"][c],
-                    at[part], field["copies"][c], field["first_id"][c],
+                    schema, w1.view(np.int64), w2.view(np.int64), field["region"][cell], field["at"][cell] + d[cell] - far,
+                    far - near + 1, far, field["mark"][cell],
                 )
 
     return emit
@@ -154,6 +161,12 @@ def remover(kind: type, length: int, ddl: str):
     return emit
 
 
+def levels(length: int, gram: int) -> list[int]:
+    """Widths of the levels of refinement, down to one."""
+    width = (length - gram + 1) // 9
+    return [width, 1] if width > 1 else [1]
+
+
 def remove_repeats(
     docs: DataFrame, kind: type, length: int, gram: int, earlier: bool, id_col: str, text_col: str
 ) -> DataFrame:
@@ -166,26 +179,41 @@ def remove_repeats(
         raise ValueError("the gram must be between 1 and the length")
     rows = keyed(docs, id_col, text_col)
     cells = rows.mapInArrow(cells_emitter(kind, length, gram), CELLS)
-    regions = cells.groupBy("anchor", "r1", "r2").agg(
+    regions = stored(cells.groupBy("anchor", "r1", "r2").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.min(F.struct("k1", "k2", "start", "n")).alias("stands"),
-    )
+        F.min(F.struct("k1", "k2", "start", "n", "d")).alias("stands"),
+    ), "regions")
     buckets = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("copies").alias("n_cells"))
-    shared = regions.join(buckets.where("n_cells > 1"), "anchor").withColumn("first_id", F.col("stands.k1"))
+    shared = regions.join(buckets.where("n_cells > 1"), "anchor").select(
+        F.monotonically_increasing_id().alias("region"), "r1", "r2", "copies", "n_regions", "stands", F.col("stands.k1").alias("first_id"))
     shared = stored(shared, "shared_regions")
-    opened = (
-        shared.where("n_regions > 1")
-        .select("stands.*", "r1", "r2", "copies", "first_id")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "n", "r1", "r2", "copies", "first_id")).alias("opened"))
-    )
-    # Rows equal in id and text have the same windows: one of them is opened.
-    texts = rows.join(opened.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text"))
-    windows = stored(texts.join(opened, ["k1", "k2"]).mapInArrow(windows_emitter(kind, length), OPENED), "opened_windows")
-    groups = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("group_first")).where("n > 1")
-    found = windows.join(groups, ["w1", "w2"]).where("group_first < first_id" if earlier else "copies = 1")
-    offsets = found.groupBy("r1", "r2").agg(F.collect_list("at").alias("offsets"))
-    facts = shared.where("copies > 1 OR n_regions > 1").select("r1", "r2", "copies", "first_id").join(offsets, ["r1", "r2"], "left")
+    discard(regions)
+    # What decides whether a window goes: the least id that has it, or whether there is one copy only.
+    mark = (F.col("first_id") if earlier else F.col("copies")).alias("mark")
+    opened = shared.where("n_regions > 1").select("region", "stands.*", mark).withColumn("at", F.lit(0))
+    for width in levels(length, gram):
+        # Rows equal in id and text have the same windows: one of them is opened.
+        lists = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("region", "start", "at", "n", "d", "mark")).alias("opened"))
+        texts = rows.join(lists.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text"))
+        parts = stored(texts.join(lists, ["k1", "k2"]).mapInArrow(parts_emitter(kind, length, width), PARTS), "parts")
+        groups = parts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n_parts"), F.min("mark").alias("least")).where("n_parts > 1")
+        met = parts.join(groups, ["w1", "w2"])
+        if width > 1:
+            # Parts that need not go themselves stay where a window of another may equal theirs.
+            stands = shared.select("region", "stands.k1", "stands.k2", F.col("stands.start").alias("cell_start"))
+            opened = stored(
+                met.select("region", "at", "n", "d", "mark").join(stands, "region")
+                .select("region", "k1", "k2", (F.col("cell_start") + F.col("at")).alias("start"), "at", "n", "d", "mark"),
+                "opened_parts",
+            )
+        else:
+            found = met.where("least < mark" if earlier else "mark = 1")
+            offsets = found.groupBy("region").agg(F.collect_list("at").alias("offsets"))
+            facts = shared.where("copies > 1 OR n_regions > 1").join(offsets, "region", "left")
+            gone = F.col("copies") > 1
+            facts = stored(facts.where(gone | F.col("offsets").isNotNull()).select("r1", "r2", "copies", "first_id", "offsets"), "repeated_regions")
+        discard(parts)
+    discard(shared)
     whole = F.col("k1") > F.col("first_id") if earlier else F.col("copies") > 1
     spans = (
         cells.join(facts, ["r1", "r2"])
@@ -201,8 +229,8 @@ def remove_repeats(
 def repeated_strings(docs: DataFrame, length: int = 200, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Suffix-array dedup over UTF-8 bytes: each byte covered by a string that also starts anywhere else is removed.
 
-    Instead of all suffixes, one per cell is bucketed by its q-gram; buckets are refined by the identifiers of later
-    offsets until ``length`` bytes are told apart. Null texts are empty. Texts shorter than ``length`` lose nothing.
+    Instead of all suffixes, one per cell is bucketed by its q-gram; buckets are refined by the identifiers of wider cores
+    at later offsets until ``length`` bytes are told apart. Null texts are empty. Texts shorter than ``length`` lose nothing.
     Equal rows are repeats of each other. An empty table gives no rows; other columns are not looked at.
     """
     return remove_repeats(docs, Bytes, length, gram, False, id_col, text_col)
