@@ -21,17 +21,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers of each base that a process keeps, at most this many.
+KEPT = 1 << 21
+POWERS: dict[int, np.ndarray] = {}
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """The powers 0 to ``n`` of a base, modulo 2^64."""
+    known = POWERS.get(base)
+    if known is not None and len(known) > n:
+        return known[: n + 1]
+    powers = np.full(max(n, min(2 * n, KEPT)) + 1, base, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    if n <= KEPT:
+        POWERS[base] = powers
+    return powers[: n + 1]
+
+
 class Windows:
     """Hashes of windows over one array of symbol values."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
-        powers = np.full(n + 1, base, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        self.inverse = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        powers = powers_of(base, n)
+        self.inverse = powers_of(pow(base, -1, 1 << 64), n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * powers[:n], out=self.sums[1:])
 

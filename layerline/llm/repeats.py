@@ -23,13 +23,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from layerline.llm.common import discard, id_of, keyed, record, slices, stored, text_bytes, to_arrow
 from layerline.llm.hashing import BASES, BYTE_VALUES, Windows, mix, sliding_min, word_hashes, word_spans
 
-MOST = 4 << 20
+MOST = 2 << 20
 CELLS = "k1 long, k2 binary, start int, n int, d int, anchor long, r1 long, r2 long"
+PLACES = "k1 long, k2 binary, start int, n int, r1 long, r2 long"
 PARTS = "w1 long, w2 long, region long, at int, n int, d int, mark long"
 
 
@@ -89,13 +91,14 @@ def cells_of(symbols, length: int, gram: int):
     return doc[a], a - offsets[doc[a]], size, at - a, grams[at].view(np.int64), r1.view(np.int64), r2.view(np.int64)
 
 
-def cells_emitter(kind: type, length: int, gram: int):
+def cells_emitter(kind: type, length: int, gram: int, ddl: str = CELLS):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow(CELLS)
+        schema = to_arrow(ddl)
         for batch in slices(batches, MOST):
             doc, *rest = cells_of(kind(batch.column("text")), length, gram)
             keys = batch.select(["k1", "k2"]).take(pa.array(doc, pa.int64()))
-            yield record(schema, keys.column(0), keys.column(1), *rest)
+            found = dict(zip(("start", "n", "d", "anchor", "r1", "r2"), rest))
+            yield record(schema, keys.column(0), keys.column(1), *(found[name] for name in schema.names[2:]))
 
     return emit
 
@@ -138,24 +141,27 @@ def remover(kind: type, length: int, ddl: str):
         schema = to_arrow(ddl)
         for batch in slices(batches, MOST):
             symbols = kind(batch.column("text"))
-            total, gone, runs, digest = [], [], [], []
-            for doc, cells in enumerate(batch.column("cells")):
-                n = int(symbols.offsets[doc + 1] - symbols.offsets[doc])
-                edges = np.zeros(n + 1, np.int64)
-                for cell in cells.as_py() or ():
-                    if cell["offsets"] is None:
-                        first, last = cell["start"], cell["start"] + cell["n"] - 1
-                        edges[first] += 1
-                        edges[last + length] -= 1
-                    else:
-                        at = cell["start"] + np.array(cell["offsets"], np.int64)
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, at + length, -1)
-                removed = np.cumsum(edges)[:n] > 0
-                total.append(n)
-                gone.append(int(removed.sum()))
-                runs.append(int((removed & ~np.r_[False, removed[:-1]]).sum()) if n else 0)
-                digest.append(hashlib.sha256(symbols.kept(doc, ~removed)).hexdigest())
+            lists = batch.column("cells")
+            rows = lists.flatten()
+            doc = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            start, n = (rows.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "n"))
+            start += symbols.offsets[doc]
+            offsets = rows.field("offsets")
+            whole = offsets.is_null().to_numpy(zero_copy_only=False)
+            some = start[~whole].repeat(pc.list_value_length(offsets.drop_null()).to_numpy(zero_copy_only=False))
+            some += offsets.drop_null().flatten().to_numpy(zero_copy_only=False)
+            # A window ends where its text does at the latest, so the texts of a batch can be counted through at once.
+            size = int(symbols.offsets[-1]) + 1
+            edges = np.bincount(np.r_[start[whole], some], minlength=size)
+            edges -= np.bincount(np.r_[(start + n - 1)[whole], some] + length, minlength=size)
+            removed = np.cumsum(edges)[:-1] > 0
+            total = np.diff(symbols.offsets)
+            gone, runs, digest = [], [], []
+            for k, (first, last) in enumerate(zip(symbols.offsets[:-1].tolist(), symbols.offsets[1:].tolist())):
+                away = removed[first:last]
+                gone.append(int(away.sum()))
+                runs.append(int(away[:1].sum() + (away[1:] & ~away[:-1]).sum()))
+                digest.append(hashlib.sha256(symbols.kept(k, ~away)).hexdigest())
             yield record(schema, batch.column("k1"), total, gone, runs, digest)
 
     return emit
@@ -215,8 +221,9 @@ def remove_repeats(
         discard(parts)
     discard(shared)
     whole = F.col("k1") > F.col("first_id") if earlier else F.col("copies") > 1
+    places = rows.mapInArrow(cells_emitter(kind, length, gram, PLACES), PLACES)
     spans = (
-        cells.join(facts, ["r1", "r2"])
+        places.join(facts, ["r1", "r2"])
         .where(whole | F.col("offsets").isNotNull())
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("start", "n", F.when(~whole, F.col("offsets")).alias("offsets"))).alias("cells"))
