@@ -4,8 +4,9 @@ Documents are range-partitioned by id, encoded in id order and written in blocks
 frequent pairs of neighbouring ids by nonterminals, again and again, and holds its rules, the expansion length of each
 rule and the replaced sequence, so a block, or a span of ids within it, is decoded without any other.
 
-A block is one row of a Parquet folder: ``shard, block, ids, n_tokens, rules, expansion, sequence``. Integers are
-little-endian 32-bit; ids holds the documents' ids as 64-bit integers and n_tokens their lengths.
+A block is one row of a Parquet folder: ``shard, block, ids, n_tokens, rules, expansion, sequence``, and the least and the
+largest document id, by which readers of few documents leave blocks out. Integers are little-endian 32-bit; ids holds the
+documents' ids as 64-bit integers and n_tokens their lengths.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,48 +25,67 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from layerline.llm.common import NO_ID, id_of, record, slices, stored, to_arrow, whole_text
 
-FILE = "shard int, block int, ids binary, n_tokens binary, rules binary, expansion binary, sequence binary, vocabulary int"
+FILE = "shard int, block int, ids binary, n_tokens binary, rules binary, expansion binary, sequence binary, vocabulary int, first_id long, last_id long"
 TOKENIZERS: dict = {}
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, first: int, most_rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The rules (pairs; rule k is symbol ``first + k``) and the sequence in which no pair replaced is left.
+def compress(ids: np.ndarray, first: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The rules (pairs; rule k is symbol ``first + k``) and the sequence in which no pair occurs ``least`` times.
 
-    Each round replaces, from the most frequent pair down, pairs that share no symbol with one chosen before, so their
-    occurrences never overlap. It ends after ``most_rounds`` or when no pair occurs ``least`` times; what is not
-    replaced stays as it is.
+    A rule and its expansion length take three numbers and each occurrence saves one, so that rarer pairs save nothing.
+    In a round a symbol is a left or a right one, or doubled, as in its most frequent pair; all such pairs of a left and a
+    right symbol are replaced at once, since they never overlap. The most frequent pair is always among them. A pair found to
+    be rare stays rare, since new neighbours are new symbols, so a round counts only pairs that were frequent or hold a symbol
+    of the round before.
     """
-    sequence, rules, symbols = ids.astype(np.int64), [], first
-    for _ in range(most_rounds):
-        if len(sequence) < 2:
-            break
-        pair = (sequence[:-1] << 32) | sequence[1:]
+    sequence, rules, symbols = ids.astype(np.int64), [np.zeros((0, 2), np.int32)], first
+    live = np.arange(len(sequence) - 1)
+    while len(live):
+        pair = (sequence[live] << 32) | sequence[live + 1]
         # A pair is in no fewer than ``least`` places only if its cell is: the others need no exact count.
-        cell = ((pair.view(np.uint64) * SPREAD) >> np.uint64(44)).astype(np.int32)
-        found, count = np.unique(pair[np.bincount(cell, minlength=1 << 20)[cell] >= least], return_counts=True)
+        cell = ((pair.view(np.uint64) * SPREAD) >> np.uint64(46)).astype(np.int32)
+        maybe = np.bincount(cell, minlength=1 << 18)[cell] >= least
+        live, pair = live[maybe], pair[maybe]
+        order = np.argsort(pair)
+        ranked = pair[order]
+        begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
+        count = np.diff(np.r_[begin, len(ranked)])
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        chosen, used = [], set()
-        for k in often[np.argsort(-count[often], kind="stable")][:4096].tolist():
-            left, right = int(found[k]) >> 32, int(found[k]) & 0xFFFFFFFF
-            if left not in used and right not in used:
-                used.update((left, right))
-                chosen.append(int(found[k]))
-        order = np.sort(np.array(chosen, np.int64))
-        place = np.minimum(np.searchsorted(order, pair), len(order) - 1)
-        hit = order[place] == pair
-        at = np.flatnonzero(hit)
-        # Occurrences overlap only in runs of one symbol: take every second one of a run.
+        often = often[np.lexsort((ranked[begin[often]], -count[often]))]
+        found, rank = ranked[begin[often]], np.arange(len(often))
+        left, right = found >> 32, found & 0xFFFFFFFF
+        # The rank of the most frequent pair that begins, and that ends, with a symbol: the last one written stays.
+        begins, ends = np.full(symbols, len(often)), np.full(symbols, len(often))
+        begins[left[::-1]], ends[right[::-1]] = rank[::-1], rank[::-1]
+        wins = np.where(left == right, (begins[left] == rank) & (ends[left] == rank), (begins[left] < ends[left]) & (ends[right] < begins[right]))
+        name = np.full(len(begin), -1)
+        name[often] = np.where(wins, symbols + np.cumsum(wins) - 1, 0)
+        names = np.empty(len(live), np.int64)
+        names[order] = np.repeat(name, count)
+        hit = names > 0
+        at, new = live[hit], names[hit]
+        # What is replaced overlaps only in runs of one symbol: take every second one of a run.
         run = np.r_[True, np.diff(at) != 1]
         start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]
-        sequence[at] = symbols + place[at]
-        sequence = np.delete(sequence, at + 1)
-        rules.extend((int(p) >> 32, int(p) & 0xFFFFFFFF) for p in order)
-        symbols += len(order)
-    return np.array(rules, np.int32).reshape(-1, 2), sequence.astype(np.int32)
+        second = (np.arange(len(at)) - start) % 2 == 1
+        at, new = at[~second], new[~second]
+        sequence[at] = new
+        keep = np.ones(len(sequence), bool)
+        keep[at + 1] = False
+        moved = np.cumsum(keep) - 1
+        waiting = live[names == 0]
+        sequence = sequence[keep]
+        again = np.zeros(len(sequence) + 1, bool)
+        again[moved[waiting[keep[waiting]]]] = True
+        again[moved[at]] = True
+        again[moved[at] - 1] = True
+        live = np.flatnonzero(again[: max(len(sequence) - 1, 0)])
+        rules.append(np.c_[left[wins], right[wins]].astype(np.int32))
+        symbols += int(wins.sum())
+    return np.concatenate(rules), sequence.astype(np.int32)
 
 
 def expansions(rules: np.ndarray, first: int) -> np.ndarray:
@@ -106,7 +128,8 @@ class ChunkEncoder:
     """
 
     BORDER = re.compile(r"(?<=\S)(?=\x20\S)")
-    MOST_CHUNKS, LONGEST = 500_000, 64
+    #: Chunks kept, and the longest one kept, so that what is kept has a bounded size.
+    MOST_CHUNKS, LONGEST = 200_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -121,28 +144,31 @@ class ChunkEncoder:
                 "\x20" in token["content"] or token["lstrip"] or token["rstrip"] or token["single_word"]
                 for token in made["added_tokens"])
         )
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         return self.BORDER.split(text) if self.cuts else [text]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunks(text) for text in texts]
-        known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = found.ids
-        out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for chunk in chunks:
-                ids += known[chunk]
-            out.append(np.array(ids, np.int32))
+        if len(self.known) > self.MOST_CHUNKS:
+            # Chunks that are met again come back from the older half, so frequent ones are not lost.
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for chunk in set(chain.from_iterable(cut)).difference(known):
+            if chunk in older:
+                known[chunk] = older[chunk]
+            else:
+                new.append(chunk)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[chunk] = array("i", found.ids).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in cut]
         for chunk in new:
             if len(chunk) > self.LONGEST:
                 del known[chunk]
-        if len(known) > self.MOST_CHUNKS:
-            known.clear()
         return out
 
 
@@ -162,7 +188,7 @@ def encoder(path: str, end_id: int, block_tokens: int):
             rules, sequence = compress(np.concatenate(lists), first)
             return record(
                 schema, [shard], [block], [np.array(ids, np.int64).tobytes()], [np.array([len(x) for x in lists], np.int32).tobytes()],
-                [rules.tobytes()], [expansions(rules, first).tobytes()], [sequence.tobytes()], [first],
+                [rules.tobytes()], [expansions(rules, first).tobytes()], [sequence.tobytes()], [first], [ids[0]], [ids[-1]],
             )
 
         for batch in slices(batches, 1 << 20):
@@ -192,6 +218,21 @@ def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield record(schema, [row["shard"]] * len(keys), [row["block"]] * len(keys), np.arange(len(keys)), keys, sizes.astype(np.int64), crc)
 
 
+def decode_documents(wanted: np.ndarray):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow("k1 long, ids array<int>")
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, ends = np.frombuffer(row["ids"], np.int64), np.cumsum(np.frombuffer(row["n_tokens"], np.int32), dtype=np.int64)
+                places = np.flatnonzero(np.isin(keys, wanted)).tolist()
+                rules, expansion = np.frombuffer(row["rules"], np.int32).reshape(-1, 2), np.frombuffer(row["expansion"], np.int32)
+                sequence, first = np.frombuffer(row["sequence"], np.int32), row["vocabulary"]
+                found = [span(rules, expansion, sequence, first, int(ends[p - 1]) if p else 0, int(ends[p])) for p in places]
+                yield record(schema, keys[places], [ids.tolist() for ids in found])
+
+    return emit
+
+
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
     block_tokens: int = 1 << 18,
@@ -226,3 +267,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         decoded.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, ["shard", "block"])
         .select(id_of().alias("doc_id"), (F.col("shard_before") + F.col("block_before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
     )
+
+
+def read_documents(spark: SparkSession, path: str, wanted: Sequence[int | None]) -> DataFrame:
+    """``doc_id, ids`` of the documents with these ids, a null id among them; ids that no document has give no row.
+
+    Blocks whose ids lie apart are not read, and of the others only the symbols that reach into a document are expanded.
+    """
+    keys = np.unique(np.array([NO_ID if key is None else key for key in wanted], np.int64))
+    files = spark.read.schema(FILE).parquet(path)
+    reached = files.where(F.lit(False)) if not len(keys) else files.where((F.col("first_id") <= int(keys[-1])) & (F.col("last_id") >= int(keys[0])))
+    return reached.mapInArrow(decode_documents(keys), "k1 long, ids array<int>").select(id_of().alias("doc_id"), "ids")

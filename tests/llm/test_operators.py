@@ -19,7 +19,7 @@ from layerline.llm.quality import quality_rules
 from layerline.llm.queries import LLM_QUERIES
 from layerline.llm.repeats import repeated_strings, repeated_words
 from layerline.llm.secrets import secret_scan
-from layerline.llm.token_files import compress, expand, expansions, read_token_files, span, write_token_files
+from layerline.llm.token_files import compress, expand, expansions, read_documents, read_token_files, span, write_token_files
 from tests.llm import brute
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -290,12 +290,17 @@ def test_token_files(spark, odd_rows, tmp_path):
     encode = Tokenizer.from_file(file)
     encode.encode_special_tokens = True
     write_token_files(made(spark, rows), file, str(tmp_path / "ids"), block_tokens=3000)
-    start, want = 0, Counter()
+    start, want, single = 0, Counter(), Counter()
+    wanted = sorted({k for k, _ in rows})[::7]
     for k, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = [*encode.encode(t or "", add_special_tokens=False).ids, 2]
         want[(k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+        single[(k, tuple(ids))] += k in wanted
         start += len(ids)
     assert got(read_token_files(spark, str(tmp_path / "ids"))) == want
+    found = read_documents(spark, str(tmp_path / "ids"), [*wanted, -77]).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found) == +single
+    assert read_documents(spark, str(tmp_path / "ids"), []).count() == 0
 
 
 def test_token_files_special(spark, tmp_path):
@@ -324,6 +329,8 @@ def test_grammar():
     draw = np.random.RandomState(1)
     for ids in (np.zeros(0, int), np.array([7]), np.full(1000, 3), draw.randint(0, 5, 3000), np.tile(draw.randint(0, 900, 100), 40)):
         rules, sequence = compress(ids, 1000, least=2)
+        pairs = Counter(zip(sequence.tolist(), sequence[1:].tolist()))
+        assert all(n < 2 for n in pairs.values())
         assert expand(rules, sequence, 1000).tolist() == ids.tolist()
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (5, 6)):
             assert span(rules, expansions(rules, 1000), sequence, 1000, a, b).tolist() == ids[a:b].tolist()
