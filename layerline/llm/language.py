@@ -1,8 +1,9 @@
 """Language ID by hierarchical discrimination: a family first, then one-versus-one linear support vector machines in it.
 
 Features are hashed byte trigrams of the whole text (A-Z lowered, digits and ASCII punctuation as blanks), as roots of
-counts scaled to length one. Families are the languages whose mean vectors are closer than a cosine; one-versus-one machines
-choose the family, and others the language within it.
+counts scaled to length one. Families are merged from the languages' mean vectors, the closest first, until the next merge
+would be the farthest out of proportion to the one before; one-versus-one machines choose the family, and others the language
+within it.
 """
 
 from __future__ import annotations
@@ -97,17 +98,38 @@ class Choice:
         return best, 1 / (1 + np.exp(-2 * np.clip(least[np.arange(len(x)), best], -30, 30)))
 
 
+def families(means: np.ndarray) -> list[int]:
+    """The family of each language, named by its first member, from mean vectors of length one.
+
+    Families are merged by the mean cosine of their members, the closest two first (ties: the first ones). Of the merges that
+    leave two families, at least one counts, and the last that counts is the one before the largest relative step in distance.
+    One or two languages, and languages of equal means throughout, are a family each.
+    """
+    n = len(means)
+    apart = np.maximum(1 - means @ means.T, 0)
+    groups, merges = [[i] for i in range(n)], []
+    while len(groups) > 1:
+        gap, i, j = min((apart[np.ix_(groups[i], groups[j])].mean(), i, j) for i, j in combinations(range(len(groups)), 2))
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+        merges.append((gap, [min(g) for i in range(n) for g in groups if i in g]))
+    if len(merges) < 2 or merges[-1][0] < 1e-6:
+        return list(range(n))
+    steps = [later / max(gap, 1e-6) for (gap, _), (later, _) in zip(merges, merges[1:])]
+    return merges[int(np.argmax(steps))][1]
+
+
 class Model:
-    """Machines for the family and, in each family, for the language."""
+    """Machines for the family and, in each family, for the language.
+
+    With ``evidence`` there are also machines for all pairs of languages. They choose nothing, but tell whether a text fits
+    any language, since a family is a mixture that noise may fit.
+    """
 
-    def __init__(self, labels: list[str], x: np.ndarray, y: np.ndarray, alike: float = 0.8):
+    def __init__(self, labels: list[str], x: np.ndarray, y: np.ndarray, evidence: bool = False):
         self.labels = labels
         means = np.array([x[y == i].mean(0) for i in range(len(labels))])
         means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-        family = list(range(len(labels)))
-        for i, j in combinations(range(len(labels)), 2):
-            if means[i] @ means[j] >= alike:
-                family = [family[i] if f == family[j] else f for f in family]
+        family = families(means)
         kinds = sorted(set(family))
         self.members = [[i for i, f in enumerate(family) if f == k] for k in kinds]
         of = np.array([kinds.index(f) for f in family])
@@ -116,24 +138,23 @@ class Model:
         for members in self.members:
             rows = np.isin(y, members)
             self.within.append(Choice(members, x[rows], np.array([members.index(v) for v in y[rows]])))
-
-        self.means = means
+        self.means, self.pairs = means, Choice(labels, x, y) if evidence else None
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, score, _ = self.judge(x)
-        return out, score
-
-    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the language, its score, and the evidence: least probability of a choice, cosine to the language's mean."""
+        """Index of the language and its score."""
         family, score = self.family(x)
-        least, out = score.copy(), np.zeros(len(x), int)
+        out = np.zeros(len(x), int)
         for k, members in enumerate(self.members):
             rows = np.flatnonzero(family == k)
             if len(rows):
                 best, own = self.within[k](x[rows])
                 out[rows], score[rows] = np.array(members)[best], score[rows] * own
-                least[rows] = np.minimum(least[rows], own)
-        return out, score, np.c_[least, (x * self.means[out]).sum(1)]
+        return out, score
+
+    def evidence(self, x: np.ndarray) -> np.ndarray:
+        """Of the language that wins most pairs, the least probability against any other and the cosine to its mean."""
+        best, least = self.pairs(x)
+        return np.c_[least, (x * self.means[best]).sum(1)]
 
 
 class Known:
@@ -156,8 +177,8 @@ class Known:
             left = np.unique(y[rest])
             test = ~rest & np.isin(y, left)
             if test.any():
-                model = Model([labels[i] for i in left], x[rest], np.searchsorted(left, y[rest]))
-                found.append(model.judge(x[test])[2])
+                model = Model([labels[i] for i in left], x[rest], np.searchsorted(left, y[rest]), evidence=True)
+                found.append(model.evidence(x[test]))
                 sizes.append(size[test])
         found, sizes = np.concatenate(found), np.concatenate(sizes)
         order = np.argsort(sizes, kind="stable")
@@ -215,7 +236,7 @@ def train(
     x = np.array([np.frombuffer(row["x"], np.float32) for row in rows])
     y = np.array([labels.index(row["label"]) for row in rows])
     known = Known(labels, x, y, np.array([row["size"] for row in rows])) if calibrate else None
-    return Model(labels, x, y), known
+    return Model(labels, x, y, evidence=calibrate), known
 
 
 def predictor(model: Model | None, known: Known | None, ddl: str):
@@ -225,11 +246,12 @@ def predictor(model: Model | None, known: Known | None, ddl: str):
             letters = np.array(batch.column("letters").to_pylist(), bool)
             names, score, sure = np.full(len(batch), "und", object), np.zeros(len(batch)), letters.copy()
             if model is not None and letters.any():
-                best, found, evidence = model.judge(features(batch.column("text")))
+                x = features(batch.column("text"))
+                best, found = model(x)
                 names = np.where(letters, np.array(model.labels, object)[best], "und")
                 score = np.where(letters, found, 0.0)
                 if known is not None:
-                    sure = letters & known(evidence, sizes_of(batch))
+                    sure = letters & known(model.evidence(x), sizes_of(batch))
             more = [sure & (names != "und"), batch.column("text_key")] if "known" in schema.names else []
             yield record(schema, batch.column("row"), names.tolist(), score, *more)
 
@@ -244,7 +266,7 @@ def language_id(
 
     The model is fitted on rows of ``training`` with a language and a letter: at most ``per_language`` of each language.
     Texts that are null, empty or without a letter get ``und`` and 0, and so do all when there is nothing to learn from.
-    One learned language is predicted always. ``known`` tells texts that are in their predicted language by the evidence that
+    One learned language is predicted always. ``known`` tells texts that are in a learned language by the evidence that
     training texts of like length have for theirs; the score alone is high for any text. More than ``most_languages`` languages are refused.
     """
     model, known = train(training, id_col, text_col, lang_col, per_language, most_languages, calibrate)

@@ -12,7 +12,7 @@ import pytest
 
 from layerline.llm.exact_copies import drop_copies, exact_copies, run_marker
 from layerline.llm.jaccard import jaccard_classes, one_of_each
-from layerline.llm.language import held_out, language_id
+from layerline.llm.language import families, held_out, language_id, train
 from layerline.llm.mixing import TARGETS, labelled_domains, mix_to_targets
 from layerline.llm.pieces import piece_ids
 from layerline.llm.quality import quality_rules
@@ -209,11 +209,42 @@ def test_language(spark):
     found = language_id(docs, docs.where(~held_out())).join(docs, "doc_id").where(held_out()).collect()
     right = sum(r.lang_pred == r.lang for r in found)
     assert right >= 0.93 * len(found)
+    model, _ = train(docs.where(~held_out()), "doc_id", "text", "lang", 300, 100)
+    assert len(model.members) >= 2 and max(map(len, model.members)) >= 2
     odd = made(spark, [(1, None), (2, ""), (3, "123 ..."), (None, "the and of"), (4, "a")])
     out = {r.doc_id: (r.lang_pred, r.score) for r in language_id(odd, odd).collect()}
     assert out[1] == out[2] == out[3] == ("und", 0.0) and out[4][0] == out[None][0] == "en"
 
 
+def test_families_of_close_languages(spark):
+    """Two pairs of close invented languages: a family each, and the machines within them tell the languages apart."""
+    draw = random.Random(8)
+    stems = {k: ["".join(draw.choice(letters) for _ in range(5)) for _ in range(60)] for k, letters in (("a", "aeioumnl"), ("b", "kptszyvr"))}
+    endings = {"a1": ["om", "el"], "a2": ["un", "ia"], "b1": ["ky", "pt"], "b2": ["sz", "rv"]}
+
+    def text(lang):
+        return " ".join(draw.choice(stems[lang[0]]) + draw.choice(endings[lang]) for _ in range(40))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(endings) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = train(docs.where("doc_id < 160"), "doc_id", "text", "lang", 300, 100)
+    assert model.labels == ["a1", "a2", "b1", "b2"] and model.members == [[0, 1], [2, 3]]
+    found = {r.doc_id: r.lang_pred for r in language_id(docs, docs.where("doc_id < 160")).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_families_by_the_largest_step():
+    def unit(*rows):
+        x = np.array(rows, float)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    assert families(unit([1, 0, 0])) == [0] and families(unit([1, 0, 0], [0.9, 0.1, 0])) == [0, 1]
+    assert families(unit([1, 0, 0], [0, 1, 0], [0.98, 0.1, 0])) == [0, 1, 0]
+    assert families(unit([1, 0, 0], [0, 1, 0], [0.98, 0.1, 0], [0, 1, 0.1])) == [0, 1, 0, 1]
+    assert families(unit([1, 0, 0], [1, 0, 0], [1, 0, 0])) == [0, 1, 2]
+    assert 1 < len(set(families(np.eye(5)))) < 5
+
+
 def test_pipeline_rejects_languages(spark):
     """The language stage drops unlearned languages and letter noise, and keeps nearly all documents of the corpus."""
     folder, draw = "/root/testdata/sf0.01", random.Random(4)
