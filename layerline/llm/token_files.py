@@ -12,6 +12,7 @@ documents' ids as 64-bit integers and n_tokens their lengths.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -129,7 +130,7 @@ class ChunkEncoder:
 
     BORDER = re.compile(r"(?<=\S)(?=\x20\S)")
     #: Chunks kept, and the longest one kept, so that what is kept has a bounded size.
-    MOST_CHUNKS, LONGEST = 200_000, 64
+    MOST_CHUNKS, LONGEST = 50_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -174,6 +175,8 @@ class ChunkEncoder:
 
 def encoder(path: str, end_id: int, block_tokens: int):
     def tokenizer() -> ChunkEncoder:
+        # A task has one core: threads of the library would cost their start and each its memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in TOKENIZERS:
             TOKENIZERS[path] = ChunkEncoder(path)
         return TOKENIZERS[path]
