@@ -11,8 +11,8 @@ piece, encoded together, stay these two: the path with that property is the mode
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ CODECS: dict = {}
 class PieceCodec:
     """Ids of a text and text of ids for a SentencePiece BPE model with byte fallback and no normalisation."""
 
+    #: Letters whose suffixes are sorted at once, chunks kept in each half, and pairs of pieces kept: a worker's memory.
+    LETTERS, CHUNKS, PAIRS = 1 << 17, 100_000, 300_000
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -36,6 +39,8 @@ class PieceCodec:
         normal = sorted((p, i) for i, p in every if not any(kind(i) for kind in kinds))
         if any(MARK in p.lstrip(MARK) for p, _ in normal):
             raise ValueError("pieces with a word mark after a letter are not supported")
+        if any("\0" in p for p, _ in normal):
+            raise ValueError("pieces with a null character are not supported")
         self.piece = dict(every)
         self.id = {p: i for p, i in normal}
         self.score = {p: model.get_score(i) for p, i in normal}
@@ -43,10 +48,10 @@ class PieceCodec:
         self.width = max(map(len, self.id), default=1)
         self.names = np.array([p for p, _ in normal], f"U{self.width}")
         self.sizes = np.array([len(p) for p, _ in normal])
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, bool] = {}
         self.whole: dict[str, bool] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A piece's range of suffixes ends where its last character is exceeded.
         self.above = np.array([p[:-1] + chr(ord(p[-1]) + 1) for p, _ in normal], f"U{self.width}")
         spelled = {i: bytes([b]) for b, i in self.byte.items()}
@@ -63,9 +68,9 @@ class PieceCodec:
         return parts
 
     def follows(self, left: str, right: str) -> bool:
-        key = (left, right)
+        key = f"{left}\0{right}"
         if key not in self.fits:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > self.PAIRS:
                 self.fits.clear()
             self.fits[key] = self.merged(left + right) == [left, right]
         return self.fits[key]
@@ -116,7 +121,7 @@ class PieceCodec:
                 else:
                     back.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
                 j -= len(piece)
-            self.chunks[chunk] = tuple(reversed(back))
+            self.chunks[chunk] = array("i", reversed(back)).tobytes()
             start += len(chunk) + 1
 
     def merged_alone(self, piece: str) -> bool:
@@ -143,7 +148,7 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(text) for text in texts]
-        if len(self.chunks) > 100_000:
+        if len(self.chunks) > self.CHUNKS:
             # Chunks that are met again come back from the older half, so frequent ones are not lost.
             self.older, self.chunks = self.chunks, {}
         new = []
@@ -159,12 +164,12 @@ class PieceCodec:
         for chunk in new:
             part.append(chunk)
             size += len(chunk)
-            if size > 500_000:
+            if size > self.LETTERS:
                 self.learn(part)
                 size, part = 0, []
         if part:
             self.learn(part)
-        return [np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chunks)), np.int32) for chunks in split]
+        return [np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.int32) for chunks in split]
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -188,7 +193,7 @@ def piece_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, pieces = to_arrow(ddl), codec(model_path)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             texts = batch.column("text").to_pylist()
             found = pieces.encode(texts)
             yield record(
