@@ -28,7 +28,8 @@ from layerline.llm.common import by_key, discard, id_of, keyed, record, same_row
 from layerline.llm.graph import components
 from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_spans
 
-MOST = 4 << 20
+#: Bytes of text hashed at once: the hashes take some 50 times as many.
+MOST = 1 << 20
 CELLS = 1 << 20
 #: Texts that one task compares with another.
 PARTNERS = 512
