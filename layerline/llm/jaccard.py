@@ -2,7 +2,9 @@
 
 Texts with one set of shingles are one node. A node is queried by its prefix: its rarest shingles, as many as two linked
 sets cannot both miss, each with its place in the order of rarity. The first shingle that two sets share bounds their
-overlap: to what follows its place in either.
+overlap: to what follows its place in either. The order comes from counts over all texts, not from those of one task. Each
+node also has a mark, the parities of its shingles by hash: where two marks differ, one set has a shingle that the other has
+not, so marks that differ in more bits than a link's sets may rule the pair out.
 
 1. Nodes are partitioned into groups by their least shingle hash, which similar sets share. Each node is compared with the
    first of its group; the links give classes, the groups of the matrix.
@@ -10,8 +12,9 @@ overlap: to what follows its place in either.
    dropped at once: its members are connected already. Some rounds then compare each node with one other class, so that
    classes of near copies merge before they are held against each other.
 3. For each node and each other class the overlap is bounded from the places of a token in the node and in the class's
-   union. A class whose bound is below what a link with its least member in question takes is not opened.
-4. Of an opened class the members are compared whose own bound, size and number of common prefix tokens allow a link.
+   union, and the difference from the bits that all or none of its members there have. A class whose bounds rule out a link
+   with its least member in question is not opened.
+4. Of an opened class the members are compared whose own bound, size, mark and number of common prefix tokens allow a link.
 
 Every pair of nodes that may link is compared or already connected, so no class is split. Sets are sets of 64-bit hashes.
 """
@@ -30,12 +33,16 @@ from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_
 
 #: Bytes of text hashed at once: the hashes take some 50 times as many.
 MOST = 1 << 20
-CELLS = 1 << 20
+CELLS = 1 << 22
+#: Counters in one row.
+TOGETHER = 1 << 12
 #: Texts that one task compares with another.
 PARTNERS = 512
 #: Rounds in which each node meets one class; classes that have merged by then need not be opened.
 ROUNDS = 3
-SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>"
+#: A mark of 512 bits.
+MARK = [f"x{i}" for i in range(8)]
+SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>, " + ", ".join(f"{x} long" for x in MARK)
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -59,17 +66,46 @@ def cell_emitter(width: int):
     """Counters of shingles by hash. They only order the shingles by rarity: any order gives the same links."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS, np.int32)
         for batch in slices(batches, MOST):
             every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column("text"), width)])
-            counts += np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        # Cells that stand out in this task; the others are about as rare as most.
-        often = np.flatnonzero(counts > 4 * max(1.0, counts.mean()))
-        yield record(to_arrow("cell int, n long"), often.astype(np.int32), counts[often])
+            np.add.at(counts, (every % np.uint64(CELLS)).astype(np.int64), 1)
+        rows = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, TOGETHER)
+        held = np.flatnonzero(rows.any(axis=1))
+        yield record(to_arrow("at int, counts binary"), held.astype(np.int32), [rows[i].tobytes() for i in held])
 
     return emit
 
 
+def cell_adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of all tasks added up, as steps of 1/2048 of a doubling."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts")):
+            whole = sums.setdefault(at, np.zeros(TOGETHER, np.int64))
+            whole += np.frombuffer(counts.as_buffer(), "<u2")
+    steps = [np.minimum(2048 * np.log2(1 + n), 0xFFFF).astype("<u2").tobytes() for n in sums.values()]
+    yield record(to_arrow("at int, counts binary"), list(sums), steps)
+
+
+def weights(rows: DataFrame, width: int) -> np.ndarray:
+    """How frequent the shingles of each cell are in all texts; a fixed number of cells, 8 MB."""
+    counted = rows.mapInArrow(cell_emitter(width), "at int, counts binary")
+    added = counted.repartition("at").mapInArrow(cell_adder, "at int, counts binary").toArrow()
+    weight = np.zeros((CELLS // TOGETHER, TOGETHER), np.uint16)
+    for at, counts in zip(added.column("at").to_pylist(), added.column("counts")):
+        weight[at] = np.frombuffer(counts.as_buffer(), "<u2")
+    return weight.reshape(-1)
+
+
+def marks(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity of each set's shingles in each of 512 parts of the hashes, one row of longs per set."""
+    bits = np.zeros((len(sets), 64 * len(MARK)), np.uint8)
+    for i, s in enumerate(sets):
+        bits[i] = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=bits.shape[1]) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def sets_emitter(width: int, percent: int, weight: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow(SETS)
@@ -86,7 +122,7 @@ def sets_emitter(width: int, percent: int, weight: np.ndarray):
             ends = np.cumsum([0, *map(len, chosen)])
             flat = np.concatenate([np.zeros(0, np.int64), *chosen])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield record(schema, batch.column("k1"), batch.column("k2"), [len(s) for s in sets], s1, s2, group, prefix)
+            yield record(schema, batch.column("k1"), batch.column("k2"), [len(s) for s in sets], s1, s2, group, prefix, *marks(sets).T)
 
     return emit
 
@@ -136,16 +172,14 @@ def keyed_classes(
     if not 0 < percent <= 100:
         raise ValueError("percent must be between 1 and 100")
     rows = keyed(docs, id_col, text_col)
-    weight = np.zeros(CELLS, np.int64)
-    # At most CELLS pairs of numbers.
-    heavy = rows.mapInArrow(cell_emitter(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weight[heavy.column("cell").to_numpy()] = heavy.column("n").to_numpy()
+    weight = weights(rows, width)
     sets = stored(rows.mapInArrow(sets_emitter(width, percent, weight), SETS), "shingle_sets")
     total = sets.count()
-    distinct = sets.where("n > 0").groupBy("s1", "s2", "n", "group").agg(F.min(F.struct("k1", "k2")).alias("r"), F.count("*").alias("copies"))
+    distinct = sets.where("n > 0").groupBy("s1", "s2", "n", "group").agg(
+        F.min(F.struct("k1", "k2")).alias("r"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in MARK])
     # Numbered in the order of ids, so that the smallest number of a class is that of its smallest id.
     nodes = stored(
-        distinct.select("r.k1", "r.k2", "s1", "s2", "n", "group", "copies").orderBy("k1", "k2")
+        distinct.select("r.k1", "r.k2", "s1", "s2", "n", "group", "copies", *MARK).orderBy("k1", "k2")
         .withColumn("node", F.monotonically_increasing_id()),
         "set_nodes",
     )
@@ -176,13 +210,22 @@ def keyed_classes(
         """Size of the smallest set that can link with one of n shingles."""
         return F.ceil(percent * n / 100)
 
+    def near(bits: list[Column], n: Column, m: Column) -> Column:
+        """Whether so many bits, which at least differ, leave a link of sets of these sizes possible."""
+        return (100 + percent) * sum(map(F.bit_count, bits)) <= (100 - percent) * (n + m)
+
+    def unlike(x: str, y: str) -> list[Column]:
+        """Bits that differ between the marks below two prefixes."""
+        return [F.col(x + i).bitwiseXOR(F.col(y + i)) for i in MARK]
+
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows ``token, node, n, bound, label`` of the tokens that several classes hold."""
+        """Rows ``token, node, n, bound, label`` and marks of the tokens that several classes hold."""
         several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        return stored(rows.join(several.select("token"), "token", "left_semi").select("token", "node", "n", "bound", "label"), "matrix")
+        return stored(rows.join(several.select("token"), "token", "left_semi").select("token", "node", "n", "bound", "label", *MARK), "matrix")
 
-    centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n")).alias("c"))
-    first = nodes.join(centres, "group").where(sized("n", "c.n") & (F.col("node") != F.col("c.node")))
+    centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n", *MARK)).alias("c"))
+    first = nodes.join(centres, "group").where(
+        sized("n", "c.n") & (F.col("node") != F.col("c.node")) & near(unlike("", "c."), F.col("n"), F.col("c.n")))
     links = linked(first.select(F.col("c.node").alias("a"), F.col("node").alias("b")), "groups")
     labels = components(links)
 
@@ -191,7 +234,7 @@ def keyed_classes(
     if held.count() > nodes.count():
         # Rows that are equal in id and text.
         held = held.dropDuplicates(["node"])
-    sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+    sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), *MARK)
     prefixes = held.select("node", F.posexplode("prefix").alias("place", "token"))
     several = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     shared = stored(prefixes.join(several.select("token"), "token", "left_semi"), "shared_tokens")
@@ -204,9 +247,10 @@ def keyed_classes(
         # Each node meets the class of least label of the tokens that it shares most of with one, by a member that differs
         # from round to round.
         drawn = (F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("drawn")
-        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound")).alias("f"))
+        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound", *MARK)).alias("f"))
         met = matrix.join(firsts, "token").where(
-            (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n"))
+            (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n")
+            & near(unlike("", "f."), n, F.col("f.n")))
         shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))
         best = shared.groupBy("node").agg(F.max(F.struct("shared", (-F.col("at")).alias("at"))).alias("best"))
         more = linked(best.select((-F.col("best.at")).alias("a"), F.col("node").alias("b")), f"round_{turn}")
@@ -219,15 +263,22 @@ def keyed_classes(
         discard(before)
 
     unions = matrix.groupBy("token", F.col("label").alias("other")).agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("bound").alias("most"))
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("bound").alias("most"),
+        *[F.bit_and(x).alias(f"all_{x}") for x in MARK], *[F.bit_or(x).alias(f"any_{x}") for x in MARK])
     may_hold = (F.col("most_n") >= smallest_for(n)) & (n >= smallest_for(F.col("least_n")))
     reaches = F.least(bound, "most") >= takes(n, F.greatest("least_n", smallest_for(n)))
-    met = matrix.join(unions, "token").where((F.col("label") != F.col("other")) & may_hold & reaches)
-    opened = stored(met.select("node", "other").distinct(), "opened")
-    members = matrix.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"))
+    # Bits that all members have and the node has not, and those that it has and no member.
+    beyond = [
+        F.bitwise_not(F.col(x)).bitwiseAND(F.col(f"all_{x}")).bitwiseOR(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"any_{x}")))) for x in MARK]
+    largest = F.least("most_n", F.floor(100 * n / percent))
+    met = matrix.join(unions, "token").where((F.col("label") != F.col("other")) & may_hold & reaches & near(beyond, n, largest))
+    # The first token that two sets share passes both bounds, so that nothing else of an opened class is looked at.
+    opened = stored(met.select("token", "node", "n", "bound", "other", *MARK), "opened")
+    members = matrix.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"), *[F.col(x).alias(f"its_{x}") for x in MARK])
     close = (
-        matrix.join(opened, "node").select("token", "node", "n", "bound", "other").join(members, ["token", "other"])
-        .where((F.col("node") < F.col("member")) & sized("n", "m") & (F.least(bound, "its") >= takes(n, F.col("m"))))
+        opened.join(members, ["token", "other"])
+        .where((F.col("node") < F.col("member")) & sized("n", "m") & (F.least(bound, "its") >= takes(n, F.col("m")))
+               & near(unlike("", "its_"), n, F.col("m")))
     )
     pairs = stored(close.select("node", "n", "member", "m").distinct(), "close")
     # The prefix that ends first in the order of rarity holds all it shares with the other set inside the other's prefix, so

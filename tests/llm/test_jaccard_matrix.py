@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from layerline.llm import jaccard
 from layerline.llm.jaccard import jaccard_classes, one_of_each
 from layerline.llm.shipping import ship
 from tests.llm import brute
@@ -45,6 +46,46 @@ def test_chains_of_near_copies_and_sizes_at_the_edge(spark):
     assert len(kept) == len({c for _, _, c in brute.classes(rows)})
 
 
+def rows_of(monkeypatch, labels):
+    """How many rows are stored under each of the labels."""
+    found, plain = {}, jaccard.stored
+
+    def counting(df, label):
+        out = plain(df, label)
+        if label in labels:
+            found[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    return found
+
+
+def test_a_passage_that_is_rare_in_each_task_is_frequent(spark, monkeypatch):
+    """The order of rarity comes from all tasks: a passage of a quarter of each text stays out of the prefixes."""
+    draw = random.Random(4)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    passage = prose(40)
+    rows = [(i, f"{prose(60)} {passage} {prose(60)}") for i in range(240)]
+    found = rows_of(monkeypatch, ["shared_tokens"])
+    assert got(jaccard_classes(documents(spark, rows).repartition(60))) == brute.classes(rows)
+    assert found["shared_tokens"] == 0
+
+
+def test_near_copies_below_the_threshold_are_told_by_their_marks(spark, monkeypatch):
+    draw = random.Random(5)
+    base = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(170)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for place in draw.sample(range(170), 5):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+    found = rows_of(monkeypatch, ["opened", "close"])
+    assert got(jaccard_classes(documents(spark, rows))) == brute.classes(rows)
+    # Of 19900 pairs.
+    assert found["opened"] < 4000 and found["close"] < 2000
+
+
 @pytest.mark.parametrize("percent", [50, 95, 100])
 def test_other_thresholds(spark, percent):
     draw = random.Random(percent)
