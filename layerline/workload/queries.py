@@ -390,18 +390,30 @@ def st_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _in_parts(rows: DataFrame, path: str, parts: int, column: str) -> None:
-    """Land rows as one file per remainder of a column, so that each can be a batch of its own."""
+# Rows of one landed file; a larger part has several.
+FILE_ROWS = 50_000
+
+
+def _in_parts(rows: DataFrame, path: str, parts: int, column: str) -> int:
+    """Land rows as equally many files per remainder of a column, one part after the other, so that each part can be a
+    batch of its own. Returns the files of a part.
+    """
+    sizes = {row["part"]: row["n"] for row in rows.groupBy((F.col(column) % parts).alias("part")).agg(F.count("*").alias("n")).collect()}
+    files = max(1, min(-(-n // FILE_ROWS) for n in sizes.values())) if len(sizes) == parts else 1
     for part in range(parts):
-        rows.where(F.col(column) % parts == part).coalesce(1).write.mode("append").parquet(path)
+        own = rows.where(F.col(column) % parts == part)
+        # Dealt in turn, so that no file is empty.
+        own = own.repartition(files) if files > 1 else own.coalesce(1)
+        own.write.mode("append").parquet(path)
+    return files
 
 
 @query
 def st_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "st_batches")
-    _in_parts(messages(bronze_events(spark, sf_dir)), f"{root}/topic", 3, "offset")
+    files = _in_parts(messages(bronze_events(spark, sf_dir)), f"{root}/topic", 3, "offset")
     reader = spark.readStream.schema(MESSAGE).options(
-        maxFilesPerTrigger=1, cleanSource="archive", sourceArchiveDir=f"{root}/archive")
+        maxFilesPerTrigger=files, cleanSource="archive", sourceArchiveDir=f"{root}/archive")
     start_delivery(reader.parquet(f"{root}/topic"), f"{root}/bronze", f"{root}/letters", f"{root}/log", None).awaitTermination()
     return plain(read_batches(spark, f"{root}/bronze").drop("ingestion_date", "error_reason", "raw_value"))
 
@@ -409,11 +421,11 @@ def st_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def st_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "st_counters")
-    _in_parts(repairable(damaged(messages(bronze_events(spark, sf_dir)))), f"{root}/topic", 3, "offset")
+    files = _in_parts(repairable(damaged(messages(bronze_events(spark, sf_dir)))), f"{root}/topic", 3, "offset")
     counters = DeliveryCounters(spark, f"{root}/counters")
     spark.streams.addListener(counters)
     try:
-        reader = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1)
+        reader = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files)
         run = start_delivery(reader.parquet(f"{root}/topic"), f"{root}/bronze", f"{root}/letters", f"{root}/log", None)
         run.awaitTermination()
         counters.wait(run)
@@ -426,8 +438,8 @@ def st_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def st_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "st_silver")
-    _in_parts(bronze_events(spark, sf_dir), f"{root}/bronze", 3, "kafka_offset")
-    bronze = spark.readStream.schema(BRONZE).option("maxFilesPerTrigger", 1).parquet(f"{root}/bronze")
+    files = _in_parts(bronze_events(spark, sf_dir), f"{root}/bronze", 3, "kafka_offset")
+    bronze = spark.readStream.schema(BRONZE).option("maxFilesPerTrigger", files).parquet(f"{root}/bronze")
     start_silver(bronze, f"{root}/silver", f"{root}/log").awaitTermination()
     return plain(snapshots.read_snapshot(spark, f"{root}/silver", SILVER))
 

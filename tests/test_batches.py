@@ -210,3 +210,17 @@ def test_a_single_sink_gets_each_batch(spark, sent, tmp_path):
     seen = []
     start_batches(topic(spark, str(tmp_path)), [lambda rows, number: seen.append((number, rows.count()))], f"{tmp_path}/log").awaitTermination()
     assert [number for number, _ in seen] == [0, 1, 2] and sum(n for _, n in seen) == sent.count()
+
+
+def test_a_large_part_is_landed_as_several_files_of_one_batch(spark, tmp_path, monkeypatch):
+    from layerline.workload import queries
+
+    events = bronze_events(spark, SF_DIR)
+    monkeypatch.setattr(queries, "FILE_ROWS", max(1, events.count() // 12))
+    files = queries._in_parts(events, str(tmp_path / "parts"), 3, "kafka_offset")
+    landed = spark.read.parquet(str(tmp_path / "parts"))
+    by_file = landed.groupBy(F.input_file_name().alias("file")).agg(F.collect_set(F.col("kafka_offset") % 3).alias("of")).collect()
+    assert files > 1 and len(by_file) == 3 * files and all(len(row["of"]) == 1 for row in by_file)
+    assert landed.count() == events.count() == landed.distinct().count()
+    [counted] = queries.QUERIES["st_counters"](spark, SF_DIR).collect()
+    assert (counted["batches"], counted["total"]) == (3, events.count())
