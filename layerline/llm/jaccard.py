@@ -9,12 +9,13 @@ not, so marks that differ in more bits than a link's sets may rule the pair out.
 1. Nodes are partitioned into groups by their least shingle hash, which similar sets share. Each node is compared with the
    first of its group; the links give classes, the groups of the matrix.
 2. The matrix holds for each token the classes whose union of prefixes has it. Tokens that one class alone holds are
-   dropped at once: its members are connected already. Some rounds then compare each node with one other class, so that
-   classes of near copies merge before they are held against each other.
+   dropped at once: its members are connected already. Some rounds then compare each node with a few of other classes, so
+   that classes of near copies merge before they are held against each other.
 3. For each node and each other class the overlap is bounded from the places of a token in the node and in the class's
    union, and the difference from the bits that all or none of its members there have. A class whose bounds rule out a link
    with its least member in question is not opened.
 4. Of an opened class the members are compared whose own bound, size, mark and number of common prefix tokens allow a link.
+   3 and 4 go through the tokens in parts, few of them first: what links there merges, and is not opened for later tokens.
 
 Every pair of nodes that may link is compared or already connected, so no class is split. Sets are sets of 64-bit hashes.
 """
@@ -22,10 +23,11 @@ Every pair of nodes that may link is compared or already connected, so no class
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from layerline.llm.common import by_key, discard, id_of, keyed, record, same_row, slices, stored, text_bytes, to_arrow
 from layerline.llm.graph import components
@@ -38,8 +40,15 @@ CELLS = 1 << 22
 TOGETHER = 1 << 12
 #: Texts that one task compares with another.
 PARTNERS = 512
-#: Rounds in which each node meets one class; classes that have merged by then need not be opened.
-ROUNDS = 3
+#: Rounds in which each node meets others, and how many at most in one; classes that have merged by then need not be opened.
+#: After two rounds the next one comes only if one in ``PAYING`` of the pairs has linked.
+ROUNDS, MEMBERS, PAYING = 12, 4, 4
+#: Parts of the tokens that are shuffled one after another, so that a part alone is on disk.
+PARTS = 4
+#: Where the parts of the tokens end, in 64ths, for which classes are opened one after another.
+OPENED = (2, 10, 32, 64)
+#: Compared texts are moved in as many parts as hold this share of all texts each, or a few.
+SHARE, FEW = 0.125, 1 << 16
 #: A mark of 512 bits.
 MARK = [f"x{i}" for i in range(8)]
 SETS = "k1 long, k2 binary, n long, s1 long, s2 long, group long, prefix array<long>, " + ", ".join(f"{x} long" for x in MARK)
@@ -127,6 +136,11 @@ def sets_emitter(width: int, percent: int, weight: np.ndarray):
     return emit
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of several written tables."""
+    return reduce(DataFrame.union, tables)
+
+
 def link_emitter(width: int, percent: int):
     """Linked nodes, from rows sorted so that each group's own text comes before those it is compared with."""
 
@@ -184,20 +198,36 @@ def keyed_classes(
         "set_nodes",
     )
 
+    count = nodes.count()
+    stands = nodes.select("k1", "k2", "node")
+    held = stored(sets.where("n > 0").join(stands, ["k1", "k2"]).select("node", "prefix"), "prefixes")
+    # Rows that are equal in id and text.
+    repeated = held.count() > count
+    if repeated:
+        held = held.dropDuplicates(["node"])
+
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """Those of the pairs ``a, b`` that link; a text that meets many is dealt over several tasks."""
         pairs = stored(pairs, f"pairs_{label}")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(ends, "node").select("k1", "k2", "node")
-        texts = rows.join(wanted, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+        # Else the texts of all rows are shuffled.
+        texts = rows.join(F.broadcast(wanted) if pairs.count() <= FEW else wanted, ["k1", "k2"])
+        texts = texts.groupBy("node").agg(F.first("text").alias("text")) if repeated else texts.select("node", "text")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         own = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         sent = own.union(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int")))
-        dealt = sent.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "text")
-        dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-        found = stored(dealt.mapInArrow(link_emitter(width, percent), "a long, b long"), f"links_{label}")
-        discard(pairs)
-        return found
+        turns = -(-max(1, sent.count()) // max(FEW, int(SHARE * count)))
+        if turns > 1:
+            texts = stored(texts, f"texts_{label}")
+        found = []
+        for turn in range(turns):
+            now = sent.where(F.pmod(F.xxhash64("a", "part", F.lit("turn")), F.lit(turns)) == turn) if turns > 1 else sent
+            dealt = now.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "text")
+            dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+            found.append(stored(dealt.mapInArrow(link_emitter(width, percent), "a long, b long"), f"links_{label}"))
+        discard(pairs, *([texts] if turns > 1 else []))
+        return together(found)
 
     def sized(n: str, m: str) -> Column:
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -229,65 +259,88 @@ def keyed_classes(
     links = linked(first.select(F.col("c.node").alias("a"), F.col("node").alias("b")), "groups")
     labels = components(links)
 
-    stands = nodes.select("k1", "k2", "node")
-    held = sets.where("n > 0").join(stands, ["k1", "k2"])
-    if held.count() > nodes.count():
-        # Rows that are equal in id and text.
-        held = held.dropDuplicates(["node"])
     sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), *MARK)
     prefixes = held.select("node", F.posexplode("prefix").alias("place", "token"))
-    several = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    shared = stored(prefixes.join(several.select("token"), "token", "left_semi"), "shared_tokens")
+    # Each part is shuffled once, and what was shuffled is deleted before the next.
+    at_token = Window.partitionBy("token")
+    marked = prefixes.withColumn("low", F.min("node").over(at_token)).withColumn("high", F.max("node").over(at_token))
+    several = marked.where("low != high").select("node", "place", "token")
+    tokens = [stored(several.where(F.pmod(F.shiftrightunsigned("token", 20), F.lit(PARTS)) == part), "shared_tokens") for part in range(PARTS)]
+    shared = together(tokens)
     # What follows a token's place is all that may be common when it is the first common one.
     matrix = mixed(shared.join(sizes, "node").withColumn("bound", (F.col("n") - F.col("place")).cast("int")))
-    discard(shared)
+    discard(*tokens)
     n, bound = F.col("n"), F.col("bound")
 
     for turn in range(ROUNDS):
-        # Each node meets the class of least label of the tokens that it shares most of with one, by a member that differs
-        # from round to round.
-        drawn = (F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("drawn")
-        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound", *MARK)).alias("f"))
+        # A token stands for one node: one of its class of least label, then one drawn anew in each round, so that any two
+        # classes meet sooner or later. Each node meets those of another class that it shares most tokens with.
+        drawn = (F.xxhash64("node", F.lit(turn)) if turn else F.col("label")).alias("drawn")
+        firsts = matrix.groupBy("token").agg(F.min(F.struct(drawn, "node", "label", "n", "bound", *MARK)).alias("f"))
         met = matrix.join(firsts, "token").where(
             (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n")
             & near(unlike("", "f."), n, F.col("f.n")))
         shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))
-        best = shared.groupBy("node").agg(F.max(F.struct("shared", (-F.col("at")).alias("at"))).alias("best"))
-        more = linked(best.select((-F.col("best.at")).alias("a"), F.col("node").alias("b")), f"round_{turn}")
-        if more.isEmpty():
+        ranked = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "at"))
+        best = stored(shared.withColumn("rank", ranked).where(F.col("rank") <= MEMBERS).select(F.col("at").alias("a"), F.col("node").alias("b")), "met")
+        more, tried = linked(best, f"round_{turn}"), best.count()
+        discard(best)
+        gained = more.count()
+        if not gained:
             break
         links = links.union(more)
         labels = components(links)
         before, relabelled = matrix, matrix.drop("label").join(labels, "node", "left")
         matrix = mixed(relabelled.withColumn("label", F.coalesce("label", "node")))
         discard(before)
+        if turn and PAYING * gained < tried:
+            break
 
-    unions = matrix.groupBy("token", F.col("label").alias("other")).agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("bound").alias("most"),
-        *[F.bit_and(x).alias(f"all_{x}") for x in MARK], *[F.bit_or(x).alias(f"any_{x}") for x in MARK])
-    may_hold = (F.col("most_n") >= smallest_for(n)) & (n >= smallest_for(F.col("least_n")))
-    reaches = F.least(bound, "most") >= takes(n, F.greatest("least_n", smallest_for(n)))
-    # Bits that all members have and the node has not, and those that it has and no member.
-    beyond = [
-        F.bitwise_not(F.col(x)).bitwiseAND(F.col(f"all_{x}")).bitwiseOR(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"any_{x}")))) for x in MARK]
-    largest = F.least("most_n", F.floor(100 * n / percent))
-    met = matrix.join(unions, "token").where((F.col("label") != F.col("other")) & may_hold & reaches & near(beyond, n, largest))
-    # The first token that two sets share passes both bounds, so that nothing else of an opened class is looked at.
-    opened = stored(met.select("token", "node", "n", "bound", "other", *MARK), "opened")
-    members = matrix.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"), *[F.col(x).alias(f"its_{x}") for x in MARK])
-    close = (
-        opened.join(members, ["token", "other"])
-        .where((F.col("node") < F.col("member")) & sized("n", "m") & (F.least(bound, "its") >= takes(n, F.col("m")))
-               & near(unlike("", "its_"), n, F.col("m")))
-    )
-    pairs = stored(close.select("node", "n", "member", "m").distinct(), "close")
-    # The prefix that ends first in the order of rarity holds all it shares with the other set inside the other's prefix, so
-    # what it holds beyond is missing there. The prefix of the larger set allows the fewest.
-    own, other = held.select("node", "prefix"), held.select(F.col("node").alias("member"), F.col("prefix").alias("theirs"))
-    common = pairs.join(own, "node").join(other, "member").withColumn("common", F.size(F.array_intersect("prefix", "theirs")))
-    enough = F.col("common") > takes(n, F.col("m")) - smallest_for(F.greatest("n", "m"))
-    rest = linked(common.where(enough).select(F.col("node").alias("a"), F.col("member").alias("b")), "members")
-    final = components(links.union(rest))
+    def opened(matrix: DataFrame) -> DataFrame:
+        """Rows ``token, node, n, bound, other`` and marks: the classes that may hold a link of the node by the token."""
+        unions = matrix.groupBy("token", F.col("label").alias("other")).agg(
+            F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("bound").alias("most"),
+            *[F.bit_and(x).alias(f"all_{x}") for x in MARK], *[F.bit_or(x).alias(f"any_{x}") for x in MARK])
+        may_hold = (F.col("most_n") >= smallest_for(n)) & (n >= smallest_for(F.col("least_n")))
+        reaches = F.least(bound, "most") >= takes(n, F.greatest("least_n", smallest_for(n)))
+        # Bits that all members have and the node has not, and those that it has and no member.
+        beyond = [
+            F.bitwise_not(F.col(x)).bitwiseAND(F.col(f"all_{x}")).bitwiseOR(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"any_{x}")))) for x in MARK]
+        largest = F.least("most_n", F.floor(100 * n / percent))
+        met = matrix.join(unions, "token").where((F.col("label") != F.col("other")) & may_hold & reaches & near(beyond, n, largest))
+        return stored(met.select("token", "node", "n", "bound", "other", *MARK), "opened")
+
+    final, compared, begin = labels, None, 0
+    for end in OPENED:
+        # The first token that two sets share passes both bounds, so that nothing else of an opened class is looked at.
+        at = F.pmod(F.shiftrightunsigned("token", 20), F.lit(64))
+        part = matrix.where((at >= begin) & (at < end)).drop("label").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        begin = end
+        part = mixed(part)
+        rows_opened = opened(part)
+        members = part.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"), *[F.col(x).alias(f"its_{x}") for x in MARK])
+        close = (
+            rows_opened.join(members, ["token", "other"])
+            .where((F.col("node") < F.col("member")) & sized("n", "m") & (F.least(bound, "its") >= takes(n, F.col("m")))
+                   & near(unlike("", "its_"), n, F.col("m")))
+        )
+        close = close.select("node", "n", "member", "m").distinct()
+        pairs = stored(close.join(compared, ["node", "member"], "left_anti") if compared is not None else close, "close")
+        discard(rows_opened, part)
+        if pairs.isEmpty():
+            continue
+        compared = pairs.select("node", "member") if compared is None else compared.union(pairs.select("node", "member"))
+        # The prefix that ends first in the order of rarity holds all it shares with the other set inside the other's prefix,
+        # so what it holds beyond is missing there. The prefix of the larger set allows the fewest.
+        ends = pairs.select("node").union(pairs.select("member")).distinct()
+        own = held.join(F.broadcast(ends) if pairs.count() <= FEW else ends, "node")
+        other = own.select(F.col("node").alias("member"), F.col("prefix").alias("theirs"))
+        common = pairs.join(own, "node").join(other, "member").withColumn("common", F.size(F.array_intersect("prefix", "theirs")))
+        enough = F.col("common") > takes(n, F.col("m")) - smallest_for(F.greatest("n", "m"))
+        more = linked(common.where(enough).select(F.col("node").alias("a"), F.col("member").alias("b")), "members")
+        if not more.isEmpty():
+            links = links.union(more)
+            final = components(links)
 
     smallest = nodes.select(F.col("node").alias("label"), F.col("k1").alias("low"))
     known = stored(

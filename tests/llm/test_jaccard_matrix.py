@@ -86,6 +86,47 @@ def test_near_copies_below_the_threshold_are_told_by_their_marks(spark, monkeypa
     assert found["opened"] < 4000 and found["close"] < 2000
 
 
+def test_classes_merge_before_they_are_opened_for_all_tokens(spark, monkeypatch):
+    """Near copies, of which a part links: most pairs of members are in one class before they are listed."""
+    draw = random.Random(8)
+    base = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(170)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for place in draw.sample(range(170), draw.choice((2, 3, 3, 4))):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+    sizes, plain = {}, jaccard.stored
+
+    def counting(df, label):
+        out = plain(df, label)
+        sizes.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    assert got(jaccard_classes(documents(spark, rows))) == brute.classes(rows)
+    assert sum(t.count() for t in sizes["opened"]) < 12_000
+    # The tokens are shuffled in parts, each of about a quarter.
+    parts = [t.count() for t in sizes["shared_tokens"]]
+    assert len(parts) == jaccard.PARTS and max(parts) < 0.5 * sum(parts)
+
+
+def test_texts_are_moved_in_parts(spark, monkeypatch):
+    """Where most texts are compared, each part of them is moved alone."""
+    draw = random.Random(9)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    rows = []
+    for i in range(0, 120, 2):
+        text = prose(100)
+        rows += [(i, text), (i + 1, text + " more")]
+    rows += [(3, rows[3][1]), (3, rows[3][1])]
+    found = rows_of(monkeypatch, ["texts_groups"])
+    monkeypatch.setattr(jaccard, "FEW", 8)
+    assert got(jaccard_classes(documents(spark, rows))) == brute.classes(rows)
+    assert found["texts_groups"] >= 60
+
+
 @pytest.mark.parametrize("percent", [50, 95, 100])
 def test_other_thresholds(spark, percent):
     draw = random.Random(percent)
