@@ -24,6 +24,12 @@ MARK, BORDER = "▁", "\U0010fffe"
 CODECS: dict = {}
 
 
+def inner_start(at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether positions are among the sorted starts."""
+    place = np.searchsorted(start, at)
+    return (place < len(start)) & (start[np.minimum(place, len(start) - 1)] == at)
+
+
 class PieceCodec:
     """Ids of a text and text of ids for a SentencePiece BPE model with byte fallback and no normalisation."""
 
@@ -48,7 +54,9 @@ class PieceCodec:
         self.width = max(map(len, self.id), default=1)
         self.names = np.array([p for p, _ in normal], f"U{self.width}")
         self.sizes = np.array([len(p) for p, _ in normal])
-        self.fits: dict[str, bool] = {}
+        self.listed, self.numbers = [p for p, _ in normal], np.array([i for _, i in normal])
+        # Pairs of pieces that have been looked at, sorted, and whether they stay apart.
+        self.pairs, self.stay = np.array([-1]), np.zeros(1, bool)
         self.whole: dict[str, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -67,16 +75,8 @@ class PieceCodec:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        key = f"{left}\0{right}"
-        if key not in self.fits:
-            if len(self.fits) > self.PAIRS:
-                self.fits.clear()
-            self.fits[key] = self.merged(left + right) == [left, right]
-        return self.fits[key]
-
-    def edges(self, text: str) -> list[list[int]]:
-        """For each end position, the lengths of the pieces that end there, from the sorted suffixes."""
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The end position of each occurrence of a piece and the piece's place in the sorted names, from the sorted suffixes."""
         n = len(text)
         codes = np.frombuffer((text + "\0" * self.width).encode("utf-32-le", "surrogatepass"), np.uint32)
         suffixes = np.lib.stride_tricks.sliding_window_view(codes, self.width)[:n].copy().view(f"U{self.width}").ravel()
@@ -86,43 +86,81 @@ class PieceCodec:
         high = np.searchsorted(ranked, self.above, "left")
         count = high - low
         hit = np.flatnonzero(count)
+        # What the model cannot build is no edge.
+        hit = hit[[self.merged_alone(str(name)) for name in self.names[hit]]] if len(hit) else hit
         which = np.repeat(hit, count[hit])
         within = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-        size = self.sizes[which]
-        end = order[low[which] + within] + size
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for e, k in zip(end.tolist(), size.tolist()):
-            by_end[e].append(k)
-        return by_end
+        return order[low[which] + within] + self.sizes[which], which
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pieces, encoded together with what follows, stay apart; a character outside the vocabulary merges with nothing."""
+        n = len(self.names)
+        keys, place = np.unique(left * (n + 1) + right, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        fits, new = self.stay[at], np.flatnonzero(self.pairs[at] != keys)
+        if len(new):
+            fits[new] = [
+                b == n or a == n or self.merged(self.listed[a] + self.listed[b]) == [self.listed[a], self.listed[b]]
+                for a, b in zip((keys[new] // (n + 1)).tolist(), (keys[new] % (n + 1)).tolist())]
+            if len(self.pairs) > self.PAIRS:
+                self.pairs, self.stay = self.pairs[:1], self.stay[:1]
+            into = np.searchsorted(self.pairs, keys[new])
+            self.pairs, self.stay = np.insert(self.pairs, into, keys[new]), np.insert(self.stay, into, fits[new])
+        return fits[place]
 
     def learn(self, chunks: list[str]) -> None:
-        """Segment chunks: one suffix array over all, then one relaxing pass."""
-        text = BORDER.join(chunks)
-        by_end, start = self.edges(text), 0
-        for chunk in chunks:
-            last: list[str | None] = [None] * (len(chunk) + 1)
-            for j in range(1, len(chunk) + 1):
-                # A character outside the vocabulary is an edge of its own and merges with nothing.
-                for size in by_end[start + j] or [1]:
-                    i = j - size
-                    if i < 0 or (i and last[i] is None):
-                        continue
-                    piece = chunk[i:j]
-                    if self.merged_alone(piece) and (i == 0 or self.follows(last[i], piece)):
-                        last[j] = piece
-                        break
-            back: list[int] = []
-            j = len(chunk)
-            while j:
-                piece = last[j]
-                known = self.id.get(piece)
-                if known is not None:
-                    back.append(known)
-                else:
-                    back.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
-                j -= len(piece)
-            self.chunks[chunk] = array("i", reversed(back)).tobytes()
-            start += len(chunk) + 1
+        """Segment chunks: one suffix array over all, then one relaxing pass over the positions of all chunks together."""
+        text, outside = BORDER.join(chunks), len(self.names)
+        length = np.array([len(chunk) for chunk in chunks])
+        start = np.cumsum(length + 1) - length - 1
+        end, which = self.edges(text)
+        # A position where no piece ends: a character outside the vocabulary is an edge of its own.
+        inner = np.ones(len(text) + 1, bool)
+        inner[start] = False
+        inner[end] = False
+        lone = np.flatnonzero(inner)
+        end, which = np.r_[end, lone], np.r_[which, np.full(len(lone), outside)]
+        size = np.append(self.sizes, 1)
+        home = np.zeros(len(text) + 1, np.int64)
+        home[start[1:]] = 1
+        level = end - start[np.cumsum(home)[end]]
+        order = np.argsort(level, kind="stable")
+        end, which = end[order], which[order]
+        bounds = np.searchsorted(level[order], np.arange(1, int(length.max()) + 2))
+        # The last piece on the path to each position; no path begins inside a chunk.
+        last = np.full(len(text) + 1, -1)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            e, piece = end[a:b], which[a:b]
+            i = e - size[piece]
+            first = inner_start(i, start)
+            ready = first | (last[i] >= 0)
+            e, piece, i, first = e[ready], piece[ready], i[ready], first[ready]
+            fits = first.copy()
+            rest = np.flatnonzero(~first)
+            fits[rest] = self.fitting(last[i[rest]], piece[rest])
+            last[e[fits]] = piece[fits]
+        on_path = np.zeros(len(text) + 1, bool)
+        at, floor = start + length, start
+        while len(at):
+            on_path[at] = True
+            at = at - size[last[at]]
+            more = at > floor
+            at, floor = at[more], floor[more]
+        ends = np.flatnonzero(on_path)
+        found = last[ends]
+        ids = np.append(self.numbers, -1)[found].astype(np.int32)
+        cuts = np.searchsorted(ends, np.append(start, len(text) + 1) + 1)
+        strange = np.add.reduceat(np.append(found == outside, False), cuts[:-1]) > 0
+        packed = ids.tobytes()
+        for chunk, a, b, odd in zip(chunks, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strange.tolist()):
+            self.chunks[chunk] = self.spelled(text, ends[a // 4 : b // 4], ids[a // 4 : b // 4]) if odd else packed[a:b]
+
+    def spelled(self, text: str, ends: np.ndarray, ids: np.ndarray) -> bytes:
+        """Ids of a path, with the bytes of characters outside the vocabulary."""
+        out: list[int] = []
+        for e, known in zip(ends.tolist(), ids.tolist()):
+            out.extend([known] if known >= 0 else [self.byte[b] for b in text[e - 1].encode("utf-8", "surrogatepass")])
+        return array("i", out).tobytes()
 
     def merged_alone(self, piece: str) -> bool:
         """Whether the model can build the piece at all."""

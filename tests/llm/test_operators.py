@@ -313,6 +313,31 @@ def test_pieces(spark, odd_rows):
     assert all(r.round_trip for r in out)
 
 
+def test_pieces_are_relaxed_for_all_chunks_together(monkeypatch):
+    """The number of passes follows the longest chunk, not the text; pairs looked at before are not merged again."""
+    from layerline.llm.pieces import PieceCodec
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    draw, library = random.Random(6), SentencePieceProcessor(model_file=path)
+    texts = ["".join(draw.choice("abcdeé漢 \n.,'▁\U0001f600\0") for _ in range(60)) for _ in range(400)] + ["", " ", "a" * 500, "\U0001f600"]
+    codec, passes, merges = PieceCodec(path), [], []
+    plain, merged = PieceCodec.fitting, PieceCodec.merged
+    monkeypatch.setattr(PieceCodec, "fitting", lambda self, a, b: passes.append(len(a)) or plain(self, a, b))
+    monkeypatch.setattr(PieceCodec, "merged", lambda self, text: merges.append(text) or merged(self, text))
+    monkeypatch.setattr(PieceCodec, "PAIRS", 50)
+    plain_text = [t for t in texts if "\0" not in t]
+    assert [list(x) for x in codec.encode(plain_text)] == [library.encode(t) for t in plain_text]
+    assert len(passes) <= max(len(c) for t in plain_text for c in codec.split(t))
+    monkeypatch.setattr(PieceCodec, "PAIRS", 300_000)
+    codec = PieceCodec(path)
+    codec.encode(plain_text)
+    codec.chunks, merges[:] = {}, []
+    codec.encode(plain_text)
+    assert not merges
+    assert all(codec.decode(x) == t.replace("▁", " ") for x, t in zip(codec.encode(texts), texts))
+
+
 def test_token_files(spark, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 
