@@ -42,11 +42,11 @@ TOGETHER = 1 << 12
 PARTNERS = 512
 #: Rounds in which each node meets others, and how many at most in one; classes that have merged by then need not be opened.
 #: After two rounds the next one comes only if one in ``PAYING`` of the pairs has linked.
-ROUNDS, MEMBERS, PAYING = 12, 4, 4
+ROUNDS, MEMBERS, PAYING = 3, 4, 4
 #: Parts of the tokens that are shuffled one after another, so that a part alone is on disk.
-PARTS = 4
+PARTS = 2
 #: Where the parts of the tokens end, in 64ths, for which classes are opened one after another.
-OPENED = (2, 10, 32, 64)
+OPENED = (2, 64)
 #: Compared texts are moved in as many parts as hold this share of all texts each, or a few.
 SHARE, FEW = 0.125, 1 << 16
 #: A mark of 512 bits.
@@ -208,7 +208,7 @@ def keyed_classes(
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """Those of the pairs ``a, b`` that link; a text that meets many is dealt over several tasks."""
-        pairs = stored(pairs, f"pairs_{label}")
+        pairs = pairs if hasattr(pairs, "stored_at") else stored(pairs, f"pairs_{label}")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(ends, "node").select("k1", "k2", "node")
         # Else the texts of all rows are shuffled.
@@ -217,7 +217,7 @@ def keyed_classes(
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         own = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         sent = own.union(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int")))
-        turns = -(-max(1, sent.count()) // max(FEW, int(SHARE * count)))
+        turns = -(-max(1, 2 * pairs.count()) // max(FEW, int(SHARE * count)))
         if turns > 1:
             texts = stored(texts, f"texts_{label}")
         found = []
@@ -282,9 +282,10 @@ def keyed_classes(
             & near(unlike("", "f."), n, F.col("f.n")))
         shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))
         ranked = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "at"))
-        best = stored(shared.withColumn("rank", ranked).where(F.col("rank") <= MEMBERS).select(F.col("at").alias("a"), F.col("node").alias("b")), "met")
-        more, tried = linked(best, f"round_{turn}"), best.count()
-        discard(best)
+        best = shared.withColumn("rank", ranked).where(F.col("rank") <= MEMBERS)
+        best = stored(best.select(F.col("at").alias("a"), F.col("node").alias("b")), f"pairs_round_{turn}")
+        tried = best.count()
+        more = linked(best, f"round_{turn}")
         gained = more.count()
         if not gained:
             break
