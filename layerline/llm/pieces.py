@@ -10,9 +10,11 @@ piece, encoded together, stay these two: the path with that property is the mode
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from layerline.llm.common import id_of, keyed, record, slices, to_arrow
 
 MARK, BORDER = "▁", "\U0010fffe"
+CHUNK = re.compile("▁+[^▁]*")
 CODECS: dict = {}
 
 
@@ -58,6 +61,7 @@ class PieceCodec:
         # Pairs of pieces that have been looked at, sorted, and whether they stay apart.
         self.pairs, self.stay = np.array([-1]), np.zeros(1, bool)
         self.whole: dict[str, bool] = {}
+        self.built: dict[str, tuple] = {}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # A piece's range of suffixes ends where its last character is exceeded.
@@ -67,14 +71,53 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the model's own rule: the best pair first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.score.get(parts[k] + parts[k + 1], -np.inf), -k))
-            if parts[best] + parts[best + 1] not in self.id:
+        return self.build(text, [])
+
+    def build(self, text: str, steps: list) -> list[str]:
+        """``merged``; ``steps`` gets each merge's score and the outer pieces after it. A merge looks up its two new neighbours only."""
+        parts, score, none = list(text), self.score.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+            steps.append((best, parts[0], parts[-1]))
         return parts
 
+    def history(self, piece: str) -> tuple:
+        """Scores of the merges that build a piece, and its first and last part before each of them and at the end."""
+        found = self.built.get(piece)
+        if found is None:
+            steps: list = []
+            self.build(piece, steps)
+            scores, firsts, lasts = zip(*steps) if steps else ((), (), ())
+            found = self.built[piece] = ((*scores, -np.inf), (piece[0], *firsts), (piece[-1], *lasts))
+        return found
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether two pieces, encoded together, stay these two: no merge over their border comes before the merges left and right.
+
+        Merges inside either do not depend on the other, so only the pair at the border is looked up. Of equal scores the
+        leftmost goes first.
+        """
+        score, none, i, j = self.score.get, -np.inf, 0, 0
+        (left, _, lasts), (right, firsts, _) = self.history(a), self.history(b)
+        while True:
+            over = score(lasts[i] + firsts[j], none)
+            if left[i] > none and left[i] >= over and left[i] >= right[j]:
+                i += 1
+            elif over >= right[j]:
+                return over == none
+            else:
+                j += 1
+
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The end position of each occurrence of a piece and the piece's place in the sorted names, from the sorted suffixes."""
         n = len(text)
@@ -100,7 +143,7 @@ class PieceCodec:
         fits, new = self.stay[at], np.flatnonzero(self.pairs[at] != keys)
         if len(new):
             fits[new] = [
-                b == n or a == n or self.merged(self.listed[a] + self.listed[b]) == [self.listed[a], self.listed[b]]
+                b == n or a == n or self.apart(self.listed[a], self.listed[b])
                 for a, b in zip((keys[new] // (n + 1)).tolist(), (keys[new] % (n + 1)).tolist())]
             if len(self.pairs) > self.PAIRS:
                 self.pairs, self.stay = self.pairs[:1], self.stay[:1]
@@ -171,18 +214,7 @@ class PieceCodec:
     @staticmethod
     def split(text: str) -> list[str]:
         """Chunks of the marked text: each starts at a mark that does not follow a mark."""
-        if not text:
-            return []
-        out, start = [], 0
-        marked = MARK + text.replace(" ", MARK)
-        at = marked.find(MARK, 1)
-        while at >= 0:
-            if marked[at - 1] != MARK:
-                out.append(marked[start:at])
-                start = at
-            at = marked.find(MARK, at + 1)
-        out.append(marked[start:])
-        return out
+        return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(text) for text in texts]
@@ -190,13 +222,12 @@ class PieceCodec:
             # Chunks that are met again come back from the older half, so frequent ones are not lost.
             self.older, self.chunks = self.chunks, {}
         new = []
-        for chunk in {c for chunks in split for c in chunks}:
-            if chunk not in self.chunks:
-                known = self.older.get(chunk)
-                if known is None:
-                    new.append(chunk)
-                else:
-                    self.chunks[chunk] = known
+        for chunk in set(chain.from_iterable(split)).difference(self.chunks):
+            known = self.older.get(chunk)
+            if known is None:
+                new.append(chunk)
+            else:
+                self.chunks[chunk] = known
         new.sort()
         size, part = 0, []
         for chunk in new:

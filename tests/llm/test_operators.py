@@ -338,6 +338,40 @@ def test_pieces_are_relaxed_for_all_chunks_together(monkeypatch):
     assert all(codec.decode(x) == t.replace("▁", " ") for x, t in zip(codec.encode(texts), texts))
 
 
+def test_pairs_of_pieces_are_told_from_their_merges():
+    """As by merging both together letter by letter, with few lookups of a score."""
+    from layerline.llm.pieces import PieceCodec
+
+    codec, draw = PieceCodec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(7)
+
+    def plain(text):
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(range(len(parts) - 1), key=lambda k: (codec.score.get(parts[k] + parts[k + 1], -np.inf), -k))
+            if parts[best] + parts[best + 1] not in codec.id:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    pieces = [p for p in codec.listed if plain(p) == [p]]
+    short = [p for p in pieces if len(p) < 4]
+    pairs = [(draw.choice(short), draw.choice(pieces if i % 2 else short)) for i in range(4000)] + [(p, p) for p in short[:500]]
+    lefts, rights = [a for a, _ in pairs], [b for _, b in pairs]
+    told = codec.fitting(np.searchsorted(codec.names, lefts), np.searchsorted(codec.names, rights))
+    assert told.tolist() == [plain(a + b) == [a, b] for a, b in pairs] and 0 < told.sum() < len(told)
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counting.asked += 1
+            return super().get(*args)
+
+    codec.score = Counting(codec.score)
+    assert codec.merged("▁the" * 100) == ["▁the"] * 100
+    assert Counting.asked <= 1200
+
+
 def test_token_files(spark, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 
