@@ -129,8 +129,10 @@ class ChunkEncoder:
     """
 
     BORDER = re.compile(r"(?<=\S)(?=\x20\S)")
-    #: Chunks kept, and the longest one kept, so that what is kept has a bounded size.
-    MOST_CHUNKS, LONGEST = 50_000, 64
+    #: Chunks kept in each half, and the longest one kept, so that what is kept has a bounded size.
+    MOST_CHUNKS, LONGEST = 100_000, 64
+    #: Chunks that the library gets as one text.
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -147,10 +149,38 @@ class ChunkEncoder:
         )
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # Bytes of each id: a byte-level token has one letter for a byte, an added one is spelled out.
+        vocabulary = self.tokenizer.get_vocab() if self.cuts else {}
+        self.sizes = np.zeros(1 + max(vocabulary.values(), default=0), np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        for token in made["added_tokens"] if self.cuts else []:
+            self.sizes[token["id"]] = len(token["content"].encode())
 
     def chunks(self, text: str) -> list[str]:
         return self.BORDER.split(text) if self.cuts else [text]
 
+    def apart(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of each chunk, asked for alone."""
+        return (array("i", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Ask the library for chunks: what begins with a lone blank and ends without one as one text, cut where a chunk ends."""
+        joins = [c for c in chunks if self.cuts and c[:1] == "\x20" and not c[1:2].isspace() and not c[-1].isspace()]
+        groups = [joins[at : at + self.TOGETHER] for at in range(0, len(joins), self.TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(group) for group in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
+            ends = np.cumsum(self.sizes[ids])
+            stops = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in group])
+            last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            if len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all():
+                packed, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
+                self.known.update(zip(group, (packed[a:b] for a, b in zip([0, *cuts], cuts))))
+            else:
+                self.known.update(zip(group, self.apart(group)))
+        rest = [c for c in chunks if c not in self.known]
+        self.known.update(zip(rest, self.apart(rest)))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunks(text) for text in texts]
         if len(self.known) > self.MOST_CHUNKS:
@@ -163,9 +193,7 @@ class ChunkEncoder:
             else:
                 new.append(chunk)
         for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = array("i", found.ids).tobytes()
+            self.learn(new[at : at + 10_000])
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in cut]
         for chunk in new:
             if len(chunk) > self.LONGEST:

@@ -372,6 +372,37 @@ def test_pairs_of_pieces_are_told_from_their_merges():
     assert Counting.asked <= 1200
 
 
+def test_the_library_gets_new_chunks_together():
+    """Ids as of whole texts; chunks between lone blanks share a call's text, also beside special tokens and odd blanks."""
+    from tokenizers import Tokenizer
+
+    from layerline.llm.token_files import ChunkEncoder
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode, draw = Tokenizer.from_file(file), ChunkEncoder(file), random.Random(8)
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    odd = ["\u00a0", "\u3000x", "\x1c", "\t", "\n", "é", "漢字", "\U0001f600", "\0", "'s", "x'", "1", "...", "a\u2028", "\x85", *special]
+    texts = ["", " ", "  ", " a", "a ", "a b"] + special
+    texts += ["".join(draw.choice(odd + [" "] * 10 + list("abcdefg")) for _ in range(draw.randint(1, 80))) for _ in range(1500)]
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, chunks, **options):
+            asked.extend(chunks)
+            return library.encode_batch_fast(chunks, **options)
+
+    encode.tokenizer = Counting()
+    assert [x.tolist() for x in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked.clear()
+    words = [f"w{i} x{i}" for i in range(20_000)]
+    assert [x.tolist() for x in encode([" ".join(words)])] == [library.encode(" ".join(words), add_special_tokens=False).ids]
+    assert len(asked) < 100
+    # Where a cut would miss the end of a chunk, chunks are asked for alone.
+    encode.sizes[:] = 1
+    assert [x.tolist() for x in encode(["one twofold threefoldly", "one éé fourfold"])] == [
+        library.encode(t, add_special_tokens=False).ids for t in ("one twofold threefoldly", "one éé fourfold")]
+
+
 def test_token_files(spark, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 
