@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerline.session import scratch_path
 from layerline.sources.paths import remove
 
 NO_ID = -(1 << 63)
+#: What a worker keeps for its next tasks; see ``in_worker``.
+KEPT: dict = {}
 #: ASCII white space as a Java and RE2 character class; words are the runs between it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,18 +26,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds for what is run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared scratch folder and read back: cuts the lineage, survives lost executors.
 
     What was shuffled for them is deleted at once, since only the written rows are read again.
     """
-    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
-    try:
+    path = scratch_path(df.sparkSession, label)
+    with setting(df.sparkSession, CLEAN_UP, "true"):
         df.write.parquet(path)
-    finally:
-        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
@@ -44,6 +56,29 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table.stored_at)
 
 
+def release() -> None:
+    """Give back the memory that a worker has freed. The allocators hold it otherwise, and the worker goes on to other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        # Only glibc has it.
+        pass
+
+
+def in_worker(key: Hashable, make: Callable | None = None):
+    """What a worker has made for this key, kept for its next tasks until a task asks for another key.
+
+    Workers outlive a step, so without that one holds the models and caches of all steps before.
+    """
+    if key not in KEPT:
+        KEPT.clear()
+        gc.collect()
+        release()
+        KEPT[key] = make() if make else None
+    return KEPT[key]
+
+
 def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """Rows with the facts of their key; ``facts`` has one row per key, and in ``n`` how many rows have it.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from layerline.llm.common import record, stored, to_arrow, whole_text
+from layerline.llm.common import in_worker, record, stored, to_arrow, whole_text
 
 MARKED = "doc_id long, run_keep long, run_size long, first boolean, repeated boolean, edge boolean, text_hash binary"
 MOST_ROWS = 1 << 16
@@ -73,6 +73,7 @@ def run_marker(largest: bool):
             yield held, run
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("exact_copies")
         schema, waiting, here, first = to_arrow(MARKED), [], None, True
         for held, run in runs(batches):
             if waiting and held != here:

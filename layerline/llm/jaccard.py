@@ -29,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from layerline.llm.common import by_key, discard, id_of, keyed, record, same_row, slices, stored, text_bytes, to_arrow
+from layerline.llm.common import by_key, discard, id_of, in_worker, keyed, record, release, same_row, setting, slices, stored, text_bytes, to_arrow
 from layerline.llm.graph import components
 from layerline.llm.hashing import BASES, LOWER, Windows, mix, word_hashes, word_spans
 
 #: Bytes of text hashed at once: the hashes take some 50 times as many.
 MOST = 1 << 20
 CELLS = 1 << 22
+#: Texts that a worker gets at once; its rows are few where texts are long.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 #: Counters in one row.
 TOGETHER = 1 << 12
 #: Texts that one task compares with another.
@@ -75,6 +77,7 @@ def cell_emitter(width: int):
     """Counters of shingles by hash. They only order the shingles by rarity: any order gives the same links."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("jaccard")
         counts = np.zeros(CELLS, np.int32)
         for batch in slices(batches, MOST):
             every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column("text"), width)])
@@ -82,6 +85,7 @@ def cell_emitter(width: int):
         rows = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, TOGETHER)
         held = np.flatnonzero(rows.any(axis=1))
         yield record(to_arrow("at int, counts binary"), held.astype(np.int32), [rows[i].tobytes() for i in held])
+        release()
 
     return emit
 
@@ -117,6 +121,7 @@ def marks(sets: list[np.ndarray]) -> np.ndarray:
 
 def sets_emitter(width: int, percent: int, weight: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("jaccard")
         schema = to_arrow(SETS)
         for batch in slices(batches, MOST):
             sets = shingle_sets(batch.column("text"), width)
@@ -132,6 +137,7 @@ def sets_emitter(width: int, percent: int, weight: np.ndarray):
             flat = np.concatenate([np.zeros(0, np.int64), *chosen])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield record(schema, batch.column("k1"), batch.column("k2"), [len(s) for s in sets], s1, s2, group, prefix, *marks(sets).T)
+        release()
 
     return emit
 
@@ -145,6 +151,7 @@ def link_emitter(width: int, percent: int):
     """Linked nodes, from rows sorted so that each group's own text comes before those it is compared with."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("jaccard")
         schema, now, own = to_arrow("a long, b long"), None, None
         for whole in batches:
             for batch in slices([whole], MOST):
@@ -160,6 +167,7 @@ def link_emitter(width: int, percent: int):
                         if 100 * common >= percent * (len(own) + len(s) - common):
                             linked.append((x, y))
                 yield record(schema, [x for x, _ in linked], [y for _, y in linked])
+        release()
 
     return emit
 
@@ -185,7 +193,12 @@ def keyed_classes(
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be between 1 and 100")
-    rows = keyed(docs, id_col, text_col)
+    with setting(docs.sparkSession, *BATCH):
+        return _classes(keyed(docs, id_col, text_col), width, percent)
+
+
+def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same for rows ``k1, k2, text``."""
     weight = weights(rows, width)
     sets = stored(rows.mapInArrow(sets_emitter(width, percent, weight), SETS), "shingle_sets")
     total = sets.count()

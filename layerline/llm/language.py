@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from layerline.llm.common import record, slices, text_bytes, text_key, to_arrow, whole_text
+from layerline.llm.common import in_worker, record, release, slices, text_bytes, text_key, to_arrow, whole_text
 
 BITS = 11
 DIM = 1 << BITS
@@ -241,6 +241,7 @@ def train(
 
 def predictor(model: Model | None, known: Known | None, ddl: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("language")
         schema = to_arrow(ddl)
         for batch in blocks(batches):
             letters = np.array(batch.column("letters").to_pylist(), bool)
@@ -254,6 +255,7 @@ def predictor(model: Model | None, known: Known | None, ddl: str):
                     sure = letters & known(model.evidence(x), sizes_of(batch))
             more = [sure & (names != "und"), batch.column("text_key")] if "known" in schema.names else []
             yield record(schema, batch.column("row"), names.tolist(), score, *more)
+        release()
 
     return emit
 

@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from layerline.llm.common import id_of, keyed, record, slices, to_arrow
+from layerline.llm.common import id_of, in_worker, keyed, record, slices, to_arrow
 
 MARK, BORDER = "▁", "\U0010fffe"
 CHUNK = re.compile("▁+[^▁]*")
-CODECS: dict = {}
 
 
 def inner_start(at: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -247,9 +246,7 @@ class PieceCodec:
 
 
 def codec(path: str) -> PieceCodec:
-    if path not in CODECS:
-        CODECS[path] = PieceCodec(path)
-    return CODECS[path]
+    return in_worker(("pieces", path), lambda: PieceCodec(path))
 
 
 def piece_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

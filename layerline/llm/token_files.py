@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from layerline.llm.common import NO_ID, id_of, record, slices, stored, to_arrow, whole_text
+from layerline.llm.common import NO_ID, id_of, in_worker, record, slices, stored, to_arrow, whole_text
 
 FILE = "shard int, block int, ids binary, n_tokens binary, rules binary, expansion binary, sequence binary, vocabulary int, first_id long, last_id long"
-TOKENIZERS: dict = {}
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,9 +204,7 @@ def encoder(path: str, end_id: int, block_tokens: int):
     def tokenizer() -> ChunkEncoder:
         # A task has one core: threads of the library would cost their start and each its memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in TOKENIZERS:
-            TOKENIZERS[path] = ChunkEncoder(path)
-        return TOKENIZERS[path]
+        return in_worker(("token_files", path), lambda: ChunkEncoder(path))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, encode = to_arrow(FILE), tokenizer()
