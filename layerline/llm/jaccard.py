@@ -22,6 +22,7 @@ Every pair of nodes that may link is compared or already connected, so no class
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -84,7 +85,8 @@ def cell_emitter(width: int):
             np.add.at(counts, (every % np.uint64(CELLS)).astype(np.int64), 1)
         rows = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, TOGETHER)
         held = np.flatnonzero(rows.any(axis=1))
-        yield record(to_arrow("at int, counts binary"), held.astype(np.int32), [rows[i].tobytes() for i in held])
+        # Most cells of a task are empty or hold one.
+        yield record(to_arrow("at int, counts binary"), held.astype(np.int32), [zlib.compress(rows[i], 1) for i in held])
         release()
 
     return emit
@@ -96,7 +98,7 @@ def cell_adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts")):
             whole = sums.setdefault(at, np.zeros(TOGETHER, np.int64))
-            whole += np.frombuffer(counts.as_buffer(), "<u2")
+            whole += np.frombuffer(zlib.decompress(counts.as_buffer()), "<u2")
     steps = [np.minimum(2048 * np.log2(1 + n), 0xFFFF).astype("<u2").tobytes() for n in sums.values()]
     yield record(to_arrow("at int, counts binary"), list(sums), steps)
 
@@ -261,10 +263,15 @@ def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
         """Bits that differ between the marks below two prefixes."""
         return [F.col(x + i).bitwiseXOR(F.col(y + i)) for i in MARK]
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows ``token, node, n, bound, label`` and marks of the tokens that several classes hold."""
+    # The marks are many times a row of the matrix, so they are joined to what is left where they are looked at.
+    marked_nodes = nodes.select("node", *MARK)
+
+    def mixed(rows: DataFrame, *marked: str) -> DataFrame:
+        """Rows ``token, node, n, bound, label`` of the tokens that several classes hold, and marks if wanted."""
         several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        return stored(rows.join(several.select("token"), "token", "left_semi").select("token", "node", "n", "bound", "label", *MARK), "matrix")
+        left = rows.join(several.select("token"), "token", "left_semi")
+        left = left.join(marked_nodes, "node") if marked else left
+        return stored(left.select("token", "node", "n", "bound", "label", *marked), "matrix")
 
     centres = nodes.groupBy("group").agg(F.min(F.struct("node", "n", *MARK)).alias("c"))
     first = nodes.join(centres, "group").where(
@@ -272,7 +279,7 @@ def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
     links = linked(first.select(F.col("c.node").alias("a"), F.col("node").alias("b")), "groups")
     labels = components(links)
 
-    sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), *MARK)
+    sizes = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
     prefixes = held.select("node", F.posexplode("prefix").alias("place", "token"))
     # Each part is shuffled once, and what was shuffled is deleted before the next.
     at_token = Window.partitionBy("token")
@@ -289,11 +296,12 @@ def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
         # A token stands for one node of its class of least label, drawn anew in each round. Each node meets those of
         # another class that it shares most tokens with.
         drawn = (F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("drawn")
-        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound", *MARK)).alias("f"))
+        firsts = matrix.groupBy("token").agg(F.min(F.struct("label", drawn, "node", "n", "bound")).alias("f"))
         met = matrix.join(firsts, "token").where(
-            (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n")
-            & near(unlike("", "f."), n, F.col("f.n")))
-        shared = met.groupBy("node", F.col("f.node").alias("at")).agg(F.count("*").alias("shared"))
+            (F.col("label") != F.col("f.label")) & (F.least(bound, "f.bound") >= takes(n, F.col("f.n"))) & sized("n", "f.n"))
+        shared = met.groupBy("node", "n", F.col("f.node").alias("at"), F.col("f.n").alias("m")).agg(F.count("*").alias("shared"))
+        theirs = marked_nodes.select(F.col("node").alias("at"), *[F.col(x).alias(f"its_{x}") for x in MARK])
+        shared = shared.join(theirs, "at").join(marked_nodes, "node").where(near(unlike("", "its_"), n, F.col("m"))).select("node", "at", "shared")
         ranked = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "at"))
         best = shared.withColumn("rank", ranked).where(F.col("rank") <= MEMBERS)
         best = stored(best.select(F.col("at").alias("a"), F.col("node").alias("b")), f"pairs_round_{turn}")
@@ -330,7 +338,7 @@ def _classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
         at = F.pmod(F.shiftrightunsigned("token", 20), F.lit(64))
         part = matrix.where((at >= begin) & (at < end)).drop("label").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
         begin = end
-        part = mixed(part)
+        part = mixed(part, *MARK)
         rows_opened = opened(part)
         members = part.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("bound").alias("its"), F.col("label").alias("other"), *[F.col(x).alias(f"its_{x}") for x in MARK])
         close = (
